@@ -109,10 +109,10 @@ def ordered(t: DataFrame) -> DataFrame:
     h = stored(h.select("conv_id", "nth", F.col("above").alias("next"), F.array(step).alias("path")), "paths")
     while not h.where("next is not null").isEmpty():
         o = h.select(F.col("conv_id").alias("c"), F.col("nth").alias("m"), F.col("next").alias("further"), F.col("path").alias("rest"))
-        h = h.join(o, h.conv_id.eqNullSafe(o.c) & (h.next == o.m), "left")
+        h = h.join(o, h.conv_id.eqNullSafe(o.c) & (h["next"] == o.m), "left")
         h = stored(h.select("conv_id", "nth", F.when(F.col("next").isNotNull(), F.col("further")).alias("next"), F.concat(F.coalesce("rest", F.array().cast(h.schema["path"].dataType)), "path").alias("path")), "paths")
     p = h.select(F.col("conv_id").alias("c"), F.col("nth").alias("m"), "path")
-    t = t.join(p, t.conv_id.eqNullSafe(p.c) & (t.head == p.m))
+    t = t.join(p, t.conv_id.eqNullSafe(p.c) & (t["head"] == p.m))
     # sort key: along the path, stay on a run up to the parent, then enter the side run by its head;
     # a side run comes after its parent and before the run goes on
     key = F.concat(F.transform("path", lambda s: F.struct(F.coalesce(s["at"], F.lit(0)).alias("at"), F.lit(1).alias("side"), s["head"].alias("head"))), F.array(F.struct(F.col("nth").alias("at"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("head"))))

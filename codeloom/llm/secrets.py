@@ -76,12 +76,16 @@ def spans_of(text: Column, pattern: str, least: int, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), F.filter(found, lambda x: x["k"] >= least)).otherwise(empty)
 
 
+def _indices(m: Column, alphabet: str) -> Column:
+    return F.transform(F.split(m, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+
+
 def battery(m: Column) -> Column:
     """The tests on one string: encoding, n, p_random (combined) and p_text; null if no encoding fits."""
     out = F.lit(None).cast("struct<encoding:string,n:int,p_random:double,p_text:double>")
     for name, pattern, alphabet, text_ic in reversed(ENCODINGS):
         k = len(alphabet)
-        values = F.transform(F.split(m, ""), lambda c, a=alphabet: F.instr(F.lit(a), c) - 1)
+        values = _indices(m, alphabet)
         out = F.when(m.rlike(pattern), _tests(values, k, name, text_ic)).otherwise(out)
     return out
 

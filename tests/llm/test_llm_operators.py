@@ -366,7 +366,7 @@ def brute_repeats(rows, h):
                 gone[i : i + 100] = b"\1" * 100
             seen.add(s)
         kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
-        out.append((r[0], len(data), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((r[0], len(data), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
 
 
