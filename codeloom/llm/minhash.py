@@ -8,8 +8,10 @@ under 0.0001 at s = 0.8. Candidates are verified on the full shingle sets.
 
 Documents with the same set are one class from the start, so exact copies cost one row. A sketch
 that only one class has cannot make a pair and is dropped before keys are formed. Tables are
-never expanded into all pairs: a small bucket gives its pairs, a large one links every member to
-its first, and members that this leaves in different components are then compared with the rest.
+never expanded into all pairs. Classes that share a sketch with many others are first compared with
+one class of these, which joins large groups of near copies by one pair a class. Buckets that are
+one component then need nothing more; of the others, a small one gives its pairs, a large one
+compares every member with its first, and members still in different components with the rest.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; fewer than five
 words are one shingle; rows that repeat a text are one class whatever their ids; a null id is
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, rows_out, stored
+from .common import discard, map_batches, rows_out, stored
 from .components import components
 from .decontamination import WordHashes, word_hashes
 
@@ -103,31 +105,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(rows, run, "doc_id long, n long, cls binary, sketch array<long>")
 
 
-def candidate_buckets(classes: DataFrame) -> DataFrame:
-    """(key, cls, n): the table keys of every class, where others have both sketches too."""
-    parts = classes.select("cls", "n", F.posexplode("sketch").alias("slot", "h")).select("cls", "n", "slot", F.xxhash64("slot", "h").alias("k"))
-    shared = parts.groupBy("k").count().where("count > 1").select("k")
-    mine = parts.join(shared, "k")
+def sketch_rows(classes: DataFrame) -> DataFrame:
+    """(k, slot, cls, n): the sketches of each class; k names the slot and the value."""
+    parts = classes.select("cls", "n", F.posexplode("sketch").alias("slot", "h"))
+    return parts.select(F.xxhash64("slot", "h").alias("k"), "slot", "cls", "n")
+
+
+def table_keys(mine: DataFrame) -> DataFrame:
+    """(key, cls, n): all pairs of a sketch of the first collection and one of the second."""
     both = mine.groupBy("cls", "n").agg(F.collect_list(F.struct("slot", "k")).alias("s"))
     side = lambda low: F.filter("s", lambda x: (x["slot"] < T) if low else (x["slot"] >= T))
     keys = both.select("cls", "n", F.explode(side(True)).alias("a"), side(False).alias("bs")).select("cls", "n", "a", F.explode("bs").alias("b"))
-    keys = keys.select(F.xxhash64("a.k", "b.k").alias("key"), "cls", "n")
-    return keys
+    return keys.select(F.xxhash64("a.k", "b.k").alias("key"), "cls", "n")
 
 
 def _near_in_size(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with a < b: all of a small bucket, those with the first member of a large one."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("first")).where("size > 1")
-    rows = buckets.join(sizes, "key")
-    large = rows.where((F.col("size") > SMALL) & (F.col("cls") > F.col("first.cls"))).select(F.col("first.cls").alias("a"), F.col("cls").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
-    lists = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("s"))
-    small = lists.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
-    small = small.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    return small.union(large).where(_near_in_size(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+def to_first(rows: DataFrame) -> DataFrame:
+    """(a, b): each class with the smallest of the first members (column first) of its buckets."""
+    rows = rows.where((F.col("cls") > F.col("first.cls")) & _near_in_size(F.col("n"), F.col("first.n")))
+    return rows.groupBy("cls").agg(F.min("first")["cls"].alias("a")).select("a", F.col("cls").alias("b"))
+
+
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of small buckets whose members are in different components so far."""
+    lists = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "n", "c"))).alias("s"))
+    pairs = lists.select(F.posexplode("s").alias("i", "x"), "s").select("x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
+    return pairs.where((F.col("x.c") != F.col("y.c")) & _near_in_size(F.col("x.n"), F.col("y.n"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,28 +175,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = signed.where("n > 0")
     classes = some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
-    buckets = stored(candidate_buckets(classes), "buckets")
-    pairs = stored(first_pairs(buckets), "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    large = buckets.groupBy("key").count().where(F.col("count") > SMALL).select("key")
-    wanted = classes.select("cls", "doc_id").join(wanted, "cls", "left_semi")
-    sets = stored(shingle_sets(docs, wanted, id_col, text_col), "sets").dropDuplicates(["cls"])
-    links = stored(verified(pairs, sets), "verified")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        wanted = classes.select("cls", "doc_id").join(wanted, "cls", "left_semi")
+        sets = stored(shingle_sets(docs, wanted, id_col, text_col), "sets")
+        out = stored(verified(pairs, sets.dropDuplicates(["cls"])), "verified")
+        discard(docs.sparkSession, sets)
+        return out
+
+    def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("c"))
+
+    # large groups first: classes that share a sketch with many, each with the first of one of these
+    parts = sketch_rows(classes)
+    shared = parts.groupBy("k").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("first")).where("size > 1")
+    mine = stored(parts.join(shared, "k"), "sketches")
+    tried = stored(to_first(mine.where(F.col("size") > SMALL)), "pairs")
+    links = confirmed(tried)
     found = stored(components(links), "components")
-    # members of large buckets that their first member did not draw into one component
-    member = buckets.join(large, "key", "left_semi").join(found, F.col("cls") == F.col("node"), "left")
-    member = member.select("key", "cls", "n", F.coalesce("component", "cls").alias("c"))
-    several = member.groupBy("key", "c").count()
-    most = several.groupBy("key").agg(F.max(F.struct("count", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("top"))
-    rows = member.join(most, "key")
-    rest = rows.where("c <> top").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    more = rest.join(rows.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "key").where("ca <> cb").where(_near_in_size(F.col("na"), F.col("nb")))
-    more = stored(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        again = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct()
-        again = classes.select("cls", "doc_id").join(again, "cls", "left_semi")
-        sets = stored(shingle_sets(docs, again, id_col, text_col), "sets").dropDuplicates(["cls"])
-        found = stored(components(stored(links.union(verified(more, sets)), "verified")), "components")
+
+    # tables: only buckets whose members are not one component yet
+    buckets = with_component(table_keys(mine.select("k", "slot", "cls", "n")), found)
+    open_keys = lambda t: t.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("cls", "n")).alias("first")).where("low <> high").drop("low", "high")
+    rows = stored(buckets.join(open_keys(buckets), "key"), "buckets")
+    large = rows.where(F.col("size") > SMALL)
+    pairs = small_pairs(rows).union(to_first(large)).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
+    links = links.union(confirmed(pairs))
+    found = stored(components(links), "components")
+
+    # what large buckets leave: members in different components that no pair has compared
+    rest = with_component(large.select("key", "cls", "n"), found)
+    rest = stored(rest.join(open_keys(rest).select("key"), "key", "left_semi"), "rest")
+    if not rest.isEmpty():
+        most = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("top"))
+        rest = rest.join(most, "key")
+        one = rest.where("c <> top").select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+        two = rest.select("key", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+        more = one.join(two, "key").where("cx <> cy").where(_near_in_size(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = stored(more.join(tried.union(pairs), ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            found = stored(components(links.union(confirmed(more))), "components")
     named = classes.select("cls", "doc_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "c").select("cls", "component_id")
