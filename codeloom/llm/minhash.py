@@ -11,7 +11,8 @@ that only one class has cannot make a pair and is dropped before keys are formed
 never expanded into all pairs. Classes that share a sketch with many others are first compared with
 one class of these, which joins large groups of near copies by one pair a class. Buckets that are
 one component then need nothing more; of the others, a small one gives its pairs, a large one
-compares every member with its first, and members still in different components with the rest.
+compares every member with its first, and members still in different components are compared with
+all others exactly, in blocks.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; fewer than five
 words are one shingle; rows that repeat a text are one class whatever their ids; a null id is
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, rows_out, stored
+from .common import discard, map_batches, partitions, rows_out, stored
 from .components import components
 from .decontamination import WordHashes, word_hashes
 
@@ -37,6 +38,8 @@ SHINGLE, PERCENT = 5, 75
 T, R = 14, 3
 #: Buckets up to this size give all their pairs.
 SMALL = 24
+#: Queries in a block and members in a share, when what large buckets leave is compared.
+QUERIES, MEMBERS = 2000, 20000
 
 _FACTORS = (np.arange(3, 3 + SHINGLE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -169,6 +172,56 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return map_batches(rows, run, "cls binary, set binary")
 
 
+def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of large buckets that are in different components.
+
+    Buckets that share members are one family. In each family, the members outside its largest
+    component are the queries; they are compared with all members, exactly, in blocks: a task has a
+    block of queries as one sorted list of shingles, and runs a share of the members through it.
+    """
+    spark = rest.sparkSession
+    family = components(rest.select(F.col("first.cls").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    members = rest.select("cls", "c").distinct().join(family, "cls")
+    top = members.groupBy("family", "c").count().groupBy("family").agg(F.max(F.struct("count", "c"))["c"].alias("top"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    shares = top.select("family", "top", F.ceil((F.col("all") - F.col("most")) / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("shares")).where("blocks > 0")
+    members = stored(members.join(shares, "family").join(sets, "cls").withColumn("h", F.xxhash64("cls")), "members")
+    queries = members.where("c <> top").select("family", F.pmod("h", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "cls", "c", "set")
+    others = members.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.shiftright("h", 20), F.col("shares").cast("long")).cast("int").alias("share"), F.lit(1).alias("role"), "cls", "c", "set")
+    key = ["family", "block", "share"]
+
+    def run(batches):
+        now, queries, index = None, [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                k = (r["family"], r["block"], r["share"])
+                if k != now:
+                    now, queries, index = k, [], None
+                own = np.frombuffer(r["set"], np.uint64)
+                if r["role"] == 0:
+                    queries.append((r["cls"], r["c"], own))
+                    continue
+                if not queries:
+                    continue
+                if index is None:
+                    every = np.concatenate([q[2] for q in queries])
+                    of = np.repeat(np.arange(len(queries)), [len(q[2]) for q in queries])
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], of[order], np.array([len(q[2]) for q in queries])
+                every, of, size = index
+                lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                n = hi - lo
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
+                both = np.bincount(of[at], minlength=len(queries))
+                for q in np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both)).tolist():
+                    if queries[q][1] != r["c"]:
+                        out.append((min(queries[q][0], r["cls"]), max(queries[q][0], r["cls"])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    dealt = queries.union(others).repartition(partitions(spark), *key).sortWithinPartitions(*key, "role")
+    return map_batches(dealt, run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     signed = stored(signatures(docs, id_col, text_col), "signatures")
@@ -207,16 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # what large buckets leave: members in different components that no pair has compared
     rest = with_component(large.select("key", "cls", "n"), found)
-    rest = stored(rest.join(open_keys(rest).select("key"), "key", "left_semi"), "rest")
+    rest = stored(rest.join(open_keys(rest).select("key", "first"), "key"), "rest")
     if not rest.isEmpty():
-        most = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("top"))
-        rest = rest.join(most, "key")
-        one = rest.where("c <> top").select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        two = rest.select("key", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-        more = one.join(two, "key").where("cx <> cy").where(_near_in_size(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = stored(more.join(tried.union(pairs), ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            found = stored(components(links.union(confirmed(more))), "components")
+        sets = shingle_sets(docs, classes.select("cls", "doc_id").join(rest.select("cls").distinct(), "cls", "left_semi"), id_col, text_col)
+        more = stored(block_links(rest, stored(sets, "sets").dropDuplicates(["cls"])), "verified")
+        found = stored(components(links.union(more)), "components")
     named = classes.select("cls", "doc_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "c").select("cls", "component_id")
