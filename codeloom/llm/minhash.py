@@ -190,13 +190,13 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     key = ["family", "block", "share"]
 
     def run(batches):
-        now, queries, index = None, [], None
+        now, queries, index, joined = None, [], None, set()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 k = (r["family"], r["block"], r["share"])
                 if k != now:
-                    now, queries, index = k, [], None
+                    now, queries, index, joined = k, [], None, set()
                 own = np.frombuffer(r["set"], np.uint64)
                 if r["role"] == 0:
                     queries.append((r["cls"], r["c"], own))
@@ -214,7 +214,9 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
                 both = np.bincount(of[at], minlength=len(queries))
                 for q in np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both)).tolist():
-                    if queries[q][1] != r["c"]:
+                    # one link of a query to a component joins the two; more would say the same
+                    if queries[q][1] != r["c"] and (q, r["c"]) not in joined:
+                        joined.add((q, r["c"]))
                         out.append((min(queries[q][0], r["cls"]), max(queries[q][0], r["cls"])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
