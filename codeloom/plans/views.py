@@ -32,7 +32,7 @@ VIEWS = {
       UNION ALL SELECT {_id('method', 'c_custkey')}, {_id('class', 'c_nationkey')}, 'implements' FROM {{customer}}
       UNION ALL SELECT {_id('function', 's_suppkey')}, {_id('class', 's_nationkey')}, 'trait_impl' FROM {{supplier}}
       UNION ALL SELECT {_id('function', 'a')}, {_id('function', 'b')}, 'calls' FROM
-        (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM {{lineitem}}) t WHERE b IS NOT NULL
+        (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM {{lineitem}}) t WHERE b IS NOT NULL
       UNION ALL SELECT {_id('function', 's_suppkey')}, n_name || '::' || replace(s_name, '#', '_'), 'calls' FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey""",
     "v_deps": """SELECT 'part/' || CAST(l_partkey AS VARCHAR(20)) AS from_file, 'supplier/' || CAST(l_suppkey AS VARCHAR(20)) AS to_file, 'import' AS kind FROM {lineitem}
       UNION ALL SELECT 'supplier/' || CAST(s_suppkey AS VARCHAR(20)), 'nation/' || CAST(s_nationkey AS VARCHAR(20)), 'import' FROM {supplier}
