@@ -20,7 +20,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +31,13 @@ SHARD = "name string, part int, first_id long, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 #: Entries of the memory of one process for pieces already encoded; it is emptied beyond that.
-MEMORY = 1_500_000
+MEMORY = 1_000_000
+
+#: Fixed value: how a byte-level vocabulary writes a space.
+SPACE_BYTE = "\u0120"
 
 _TWO_SPACES = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: The tokenizer's own pre-token pattern.
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pre-tokens that stay apart when they are written one after another.
-_SPACED_LETTERS = regex.compile(r" \p{L}+")
 
 
 class Encoder:
@@ -60,34 +58,36 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_BYTE) for i in range(self.tokenizer.get_vocab_size())])
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, self.dtype) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        new = {x: _PRE_TOKEN.findall(lead + x) for x in pieces if x not in known}
-        parts = self.parts
-        unknown = {x for xs in new.values() for x in xs if x not in parts}
-        words = [x for x in unknown if _SPACED_LETTERS.fullmatch(x)]
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype).tobytes()
-            at = (np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1)) * self.dtype.itemsize).tolist()
-            for k, x in enumerate(some):
-                parts[x] = ids[at[k] : at[k + 1]]
-        others = [x for x in unknown if x not in parts]
-        for i in range(0, len(others), 2000):
-            some = others[i : i + 2000]
-            for x, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                parts[x] = np.array(got.ids, self.dtype).tobytes()
-        for x, xs in new.items():
-            known[x] = b"".join([parts[y] for y in xs])
+        """Add ``pieces`` to ``known``, each encoded with ``lead`` (nothing or a space) before it.
+
+        Pieces led by a space are encoded many in a row: an id that begins with a space begins the
+        next piece. Where the number of these is not that of the pieces (spaces inside a piece or
+        merged with other white space), and without a lead, each is encoded by itself.
+        """
+        new = list(pieces.difference(known))
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            if lead:
+                ids = self._ids([lead + lead.join(some)])[0]
+                at = np.flatnonzero(self.spaced[ids])
+                if len(at) == len(some) and not any(" " in x for x in some):
+                    data, at = ids.tobytes(), (np.append(at, len(ids)) * self.dtype.itemsize).tolist()
+                    known.update(zip(some, [data[j:k] for j, k in zip(at, at[1:])]))
+                    continue
+            known.update(zip(some, [x.tobytes() for x in self._ids([lead + x for x in some])]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.rest) + len(self.parts) > MEMORY:
-            for x in (self.first, self.rest, self.parts):
-                x.clear()
+        if len(self.first) + len(self.rest) > MEMORY:
+            self.first.clear()
+            self.rest.clear()
         cut, heads, tails = [], set(), set()
         for text in texts:
             parts = _LONE_SPACE.split(text or "") if _TWO_SPACES.search(text or "") else (text or "").split(" ")
