@@ -1,9 +1,9 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
-The words of the licence templates are counted in all documents; those that few documents have
-are rare. Each document looks up its rarest licence words (highest inverse document frequency)
-in the template postings, and every place votes for (template, place of the template's first
-word). Places with enough distinct words are verified: each mandatory key phrase of the template
+The words of the licence templates are ranked by the number of documents that have them, the
+highest inverse document frequency first; no word is too frequent to be looked up. Each document
+looks up its rarest licence words in the template postings, and every place votes for (template,
+place of the template's first word). Places with enough distinct words are verified: each mandatory key phrase of the template
 must stand there. The base phrases are found apart from that, wherever they stand.
 
 What is collected is one count for each word of the templates, a fixed number. Texts are never
@@ -41,9 +41,9 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("reserved", "all rights reserved no part of this work may be reproduced", ("all rights reserved",)),
 )
-#: A licence word is rare if at most this share of the documents has it; a document looks up so
-#: many of its rarest; a place needs so many distinct words, and this share of the template's.
-RARE_SHARE, LOOK_UP, VOTES, LEAST_SCORE = 0.1, 16, 2, 0.5
+#: A document looks up so many of its rarest licence words; a place needs so many distinct words,
+#: and this share of the template's.
+LOOK_UP, VOTES, LEAST_SCORE = 16, 2, 0.5
 #: Words before and after a template's place in which its key phrases may stand.
 SLACK = 4
 
@@ -76,8 +76,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     templates = [(label, words_of(t), [words_of(p) for p in keys]) for label, t, keys in TEMPLATES]
     vocabulary = sorted({w for _, ws, _ in templates for w in ws})
-    frequency, total = document_frequency(docs, vocabulary), docs.count()
-    rare = sorted((w for w in vocabulary if frequency.get(w, 0) <= max(1, RARE_SHARE * total)), key=lambda w: (frequency.get(w, 0), w))
+    frequency = document_frequency(docs, vocabulary)
+    rare = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(rare)}  # the highest inverse frequency first
 
     t = docs.select("doc_id", _words(F.col("text")).alias("words"))
@@ -99,37 +99,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # the places of the rarest words of the document, as rank * 2 ** 32 + place
     postings = {w: [(k, p) for k, (_, ws, _) in enumerate(templates) for p, x in enumerate(ws) if x == w] for w in rare}
-    if rare:
-        ranks = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(rank[w]))])
-        places = F.create_map(*[x for w in rare for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, p in postings[w]]))])
-        hits = F.transform(_places(F.col("words"), F.col("n"), lambda w: w.isin(rare)), lambda i: F.struct(ranks[at(i)].alias("r"), i.alias("i")))
-        t = t.withColumn("hits", hits)
-        top = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["r"]))), 1, LOOK_UP)
-        t = t.withColumn("top", top)
-        # a vote as one number: template, place of the template's first word, word
-        votes = F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains("top", x["r"])), lambda x: F.transform(places[x["r"]], lambda q: (q["t"].cast("long") * (1 << 32) + (x["i"] - q["p"] + 256)) * 1024 + x["r"])))
-        t = t.withColumn("votes", F.array_append(F.sort_array(F.array_distinct(votes)), F.lit(-1).cast("long")))
-        zero = F.struct(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("n"), F.array().cast("array<struct<key:bigint,n:int>>").alias("found"))
-
-        def count(acc: Column, x: Column) -> Column:
-            key = F.floor(x / 1024).cast("long")
-            done = F.when(acc["n"] >= VOTES, F.array_append(acc["found"], F.struct(acc["key"].alias("key"), acc["n"].alias("n")))).otherwise(acc["found"])
-            return F.when(key == acc["key"], F.struct(acc["key"].alias("key"), (acc["n"] + 1).alias("n"), acc["found"].alias("found"))).otherwise(F.struct(key.alias("key"), F.lit(1).alias("n"), done.alias("found")))
-
-        t = t.withColumn("found", F.aggregate("votes", zero, count)["found"])
-        size = [max(1, min(LOOK_UP, len({w for w in ws if w in rank}))) for _, ws, _ in templates]
-        info = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(ws)).alias("len"), F.lit(size[k]).alias("size"), F.array(*[F.lit(f" {' '.join(p)} ") for p in keys]).alias("keys")) for k, (label, ws, keys) in enumerate(templates)])
-
-        def verified(x: Column) -> Column:
-            k, start = F.shiftright(x["key"], 32).cast("int"), (F.pmod(x["key"], F.lit(1 << 32)) - 256).cast("int")
-            about = F.get(info, k)
-            low = F.greatest(start - SLACK, F.lit(0))
-            there = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, about["len"] + 2 * SLACK), " "), F.lit(" "))
-            return F.struct(about["label"].alias("label"), start.alias("start"), F.least(F.lit(1.0), x["n"] / about["size"]).alias("score"), F.forall(about["keys"], lambda p: F.contains(there, p)).alias("ok"))
-
-        places = F.filter(F.transform("found", verified), lambda x: x["ok"] & (x["score"] >= LEAST_SCORE))
-    else:
-        places = F.array().cast("array<struct<label:string,start:int,score:double,ok:boolean>>")
+    ranks = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(rank[w]))])
+    places = F.create_map(*[x for w in rare for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, p in postings[w]]))])
+    hits = F.transform(_places(F.col("words"), F.col("n"), lambda w: w.isin(rare)), lambda i: F.struct(ranks[at(i)].alias("r"), i.alias("i")))
+    t = t.withColumn("hits", hits)
+    top = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["r"]))), 1, LOOK_UP)
+    t = t.withColumn("top", top)
+    # a vote as one number: template, place of the template's first word, word
+    votes = F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains("top", x["r"])), lambda x: F.transform(places[x["r"]], lambda q: (q["t"].cast("long") * (1 << 32) + (x["i"] - q["p"] + 256)) * 1024 + x["r"])))
+    t = t.withColumn("votes", F.array_append(F.sort_array(F.array_distinct(votes)), F.lit(-1).cast("long")))
+    zero = F.struct(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("n"), F.array().cast("array<struct<key:bigint,n:int>>").alias("found"))
+
+    def count(acc: Column, x: Column) -> Column:
+        key = F.floor(x / 1024).cast("long")
+        done = F.when(acc["n"] >= VOTES, F.array_append(acc["found"], F.struct(acc["key"].alias("key"), acc["n"].alias("n")))).otherwise(acc["found"])
+        return F.when(key == acc["key"], F.struct(acc["key"].alias("key"), (acc["n"] + 1).alias("n"), acc["found"].alias("found"))).otherwise(F.struct(key.alias("key"), F.lit(1).alias("n"), done.alias("found")))
+
+    t = t.withColumn("found", F.aggregate("votes", zero, count)["found"])
+    size = [max(1, min(LOOK_UP, len({w for w in ws if w in rank}))) for _, ws, _ in templates]
+    info = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(ws)).alias("len"), F.lit(size[k]).alias("size"), F.array(*[F.lit(f" {' '.join(p)} ") for p in keys]).alias("keys")) for k, (label, ws, keys) in enumerate(templates)])
+
+    def verified(x: Column) -> Column:
+        k, start = F.shiftright(x["key"], 32).cast("int"), (F.pmod(x["key"], F.lit(1 << 32)) - 256).cast("int")
+        about = F.get(info, k)
+        low = F.greatest(start - SLACK, F.lit(0))
+        there = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, about["len"] + 2 * SLACK), " "), F.lit(" "))
+        return F.struct(about["label"].alias("label"), start.alias("start"), F.least(F.lit(1.0), x["n"] / about["size"]).alias("score"), F.forall(about["keys"], lambda p: F.contains(there, p)).alias("ok"))
+
+    places = F.filter(F.transform("found", verified), lambda x: x["ok"] & (x["score"] >= LEAST_SCORE))
     t = t.select("doc_id", F.col("n").cast("long").alias("n_words"), every.alias("every"), base_labels.alias("base"), places.alias("places"))
     return t.select(
         "doc_id",

@@ -209,6 +209,15 @@ def test_license_places(spark):
     assert got[2].labels == "mit" and got[3].labels == "" and got[10].labels == ""
 
 
+NOTICE = {label: text for label, text, _ in licenses.TEMPLATES}
+
+
+def test_license_in_a_third_of_the_rows(spark):
+    texts = [(k, "some words before " + NOTICE["bsd"] + " and after") for k in range(20)] + [(k, "plain words only here") for k in range(20, 60)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {k: "bsd" if k < 20 else "" for k in range(60)}
+
+
 def test_decontamination(spark, docs, empty):
     rows, df = docs
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
