@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
 The words of the licence templates are ranked by the number of documents that have them, the
-highest inverse document frequency first; no word is too frequent to be looked up. Each document
-looks up its rarest licence words in the template postings, and every place votes for (template,
-place of the template's first word). Places with enough distinct words are verified: each mandatory key phrase of the template
+highest inverse document frequency first; no word is too frequent to be looked up. The rarest words
+of each template are its postings. A document looks up those of every template whose key phrases
+it has all words of (the others cannot be verified), and every place votes for (template, place of
+the template's first word). Places with enough distinct words are verified: each mandatory key phrase of the template
 must stand there. The base phrases are found apart from that, wherever they stand.
 
 What is collected is one count for each word of the templates, a fixed number. Texts are never
@@ -15,6 +16,7 @@ score 0; repeated rows give a row each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -41,8 +43,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("reserved", "all rights reserved no part of this work may be reproduced", ("all rights reserved",)),
 )
-#: A document looks up so many of its rarest licence words; a place needs so many distinct words,
-#: and this share of the template's.
+#: So many of a template's rarest words are looked up; a place needs so many distinct words, and
+#: this share of those looked up.
 LOOK_UP, VOTES, LEAST_SCORE = 16, 2, 0.5
 #: Words before and after a template's place in which its key phrases may stand.
 SLACK = 4
@@ -97,26 +99,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = F.concat(*[F.col(f"base{k}") for k in range(len(PHRASES))])
     base_labels = F.array_sort(F.filter(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(x)) for k, (_, x) in enumerate(PHRASES)]), lambda x: x.isNotNull()))
 
-    # the places of the rarest words of the document, as rank * 2 ** 32 + place
-    postings = {w: [(k, p) for k, (_, ws, _) in enumerate(templates) for p, x in enumerate(ws) if x == w] for w in rare}
+    # the places of the rarest words of each template that the document can hold
+    looked = [sorted(set(ws), key=rank.__getitem__)[:LOOK_UP] for _, ws, _ in templates]
+    size = [len(x) for x in looked]
+    postings = {w: [(k, p) for k, (_, ws, _) in enumerate(templates) if w in looked[k] for p, x in enumerate(ws) if x == w] for w in rare}
+    need = [sorted({w for p in keys for w in p}) for _, _, keys in templates]
+    t = t.withColumn("have", F.array_intersect("words", F.array(*map(F.lit, sorted({w for x in need for w in x})))))
+    t = t.withColumn("can", F.filter(F.array(*[F.when(_all(F.array_contains("have", w) for w in x), F.lit(k)) for k, x in enumerate(need)]), lambda k: k.isNotNull()))
     ranks = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(rank[w]))])
     places = F.create_map(*[x for w in rare for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, p in postings[w]]))])
-    hits = F.transform(_places(F.col("words"), F.col("n"), lambda w: w.isin(rare)), lambda i: F.struct(ranks[at(i)].alias("r"), i.alias("i")))
-    t = t.withColumn("hits", hits)
-    top = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["r"]))), 1, LOOK_UP)
-    t = t.withColumn("top", top)
+    seek = F.array_distinct(F.flatten(F.transform("can", lambda k: F.get(F.array(*[F.array(*map(F.lit, x)) for x in looked]), k))))
+    hits = F.when(F.size("can") > 0, F.transform(_places(F.col("words"), F.col("n"), lambda w: F.array_contains("seek", w)), lambda i: F.struct(ranks[at(i)].alias("r"), i.alias("i"))))
+    t = t.withColumn("seek", seek).withColumn("hits", F.coalesce(hits, F.array().cast("array<struct<r:int,i:int>>")))
     # a vote as one number: template, place of the template's first word, word
-    votes = F.flatten(F.transform(F.filter("hits", lambda x: F.array_contains("top", x["r"])), lambda x: F.transform(places[x["r"]], lambda q: (q["t"].cast("long") * (1 << 32) + (x["i"] - q["p"] + 256)) * 1024 + x["r"])))
+    votes = F.flatten(F.transform("hits", lambda x: F.transform(F.filter(places[x["r"]], lambda q: F.array_contains("can", q["t"])), lambda q: (q["t"].cast("long") * (1 << 32) + (x["i"] - q["p"] + 256)) * 1024 + x["r"])))
     t = t.withColumn("votes", F.array_append(F.sort_array(F.array_distinct(votes)), F.lit(-1).cast("long")))
     zero = F.struct(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("n"), F.array().cast("array<struct<key:bigint,n:int>>").alias("found"))
 
+    least = F.array(*[F.lit(max(VOTES, math.ceil(LEAST_SCORE * x))) for x in size])
+
     def count(acc: Column, x: Column) -> Column:
         key = F.floor(x / 1024).cast("long")
-        done = F.when(acc["n"] >= VOTES, F.array_append(acc["found"], F.struct(acc["key"].alias("key"), acc["n"].alias("n")))).otherwise(acc["found"])
+        done = F.when(acc["n"] >= F.get(least, F.shiftright(acc["key"], 32).cast("int")), F.array_append(acc["found"], F.struct(acc["key"].alias("key"), acc["n"].alias("n")))).otherwise(acc["found"])
         return F.when(key == acc["key"], F.struct(acc["key"].alias("key"), (acc["n"] + 1).alias("n"), acc["found"].alias("found"))).otherwise(F.struct(key.alias("key"), F.lit(1).alias("n"), done.alias("found")))
 
     t = t.withColumn("found", F.aggregate("votes", zero, count)["found"])
-    size = [max(1, min(LOOK_UP, len({w for w in ws if w in rank}))) for _, ws, _ in templates]
     info = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(ws)).alias("len"), F.lit(size[k]).alias("size"), F.array(*[F.lit(f" {' '.join(p)} ") for p in keys]).alias("keys")) for k, (label, ws, keys) in enumerate(templates)])
 
     def verified(x: Column) -> Column:

@@ -218,6 +218,15 @@ def test_license_in_a_third_of_the_rows(spark):
     assert got == {k: "bsd" if k < 20 else "" for k in range(60)}
 
 
+def test_many_licenses_in_one_file(spark):
+    labels = [label for label, _, _ in licenses.TEMPLATES]
+    some = [["mit", "apache", "bsd"], ["bsd", "mpl", "cc-by"], ["mit", "apache", "gpl", "bsd", "isc", "mpl"], labels]
+    texts = [(k, " other words here ".join(NOTICE[x] for x in xs)) for k, xs in enumerate(some)] + [(k, "plain words only here") for k in range(10, 40)]
+    got = {r.doc_id: (set(r.labels.split(",")), {x.label for x in r.places}) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, xs in enumerate(some):
+        assert set(xs) <= got[k][0] and set(xs) <= got[k][1]
+
+
 def test_decontamination(spark, docs, empty):
     rows, df = docs
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
