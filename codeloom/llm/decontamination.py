@@ -4,7 +4,7 @@ Words are lower-cased (A-Z) and cut at ASCII white space. Fixed masks over a win
 the positions that count; hashes of the picked words of all benchmark windows are joined with
 those of all document windows, so a substituted word at an ignored position changes nothing. Each
 hit is verified on its diagonal: the best-scoring stretch around it must have enough equal words
-and few substitutions.
+and few substitutions; if it has not, any other stretch of the diagonal that has them counts.
 
 The benchmark index has a stated size bound; a larger benchmark is cut into blocks by item, and
 each block is a pass over the documents. Documents are never exchanged.
@@ -70,6 +70,18 @@ def masked(h: np.ndarray, mask: str) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def qualifying(same: np.ndarray) -> tuple[int, int]:
+    """First and last place of the stretch with the most equal words among those with LEAST_SHARE of
+    them; (0, -1) if no word is equal."""
+    equal = np.concatenate(([0], np.cumsum(same)))
+    # equal words above the share up to each place; the longest stretch to an end has the most
+    above = np.round((equal - LEAST_SHARE * np.arange(len(equal))) * 1000).astype(np.int64)
+    start = np.searchsorted(-np.minimum.accumulate(above), -above, "left")
+    end = int(np.argmax(equal - equal[start]))
+    at = np.flatnonzero(same[start[end] : end])
+    return (int(start[end] + at[0]), int(start[end] + at[-1])) if len(at) else (0, -1)
+
+
 class Index:
     """Hashes of all benchmark windows, sorted, with a bitmap before them."""
 
@@ -107,6 +119,7 @@ class Index:
     def matches(self, h: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """For each item with a verified overlap: equal words, aligned words, place in the document."""
         best: dict[int, tuple[int, int, int]] = {}
+        other: dict[tuple[int, int], tuple[int, int]] = {}
         for k, d, i in sorted(self.hits(h)):
             w = self.words[k]
             lo, hi = max(0, d), min(len(h), d + len(w))
@@ -118,6 +131,11 @@ class Index:
             start = int(np.argmin(before[::-1]))
             start = at - start
             n, equal = end - start + 1, int(same[start : end + 1].sum())
+            if equal < min(LEAST_WORDS, len(w)) or equal < LEAST_SHARE * n:
+                if (k, d) not in other:
+                    other[k, d] = qualifying(same)
+                start, end = other[k, d]
+                n, equal = end - start + 1, int(same[start : end + 1].sum())
             if equal >= min(LEAST_WORDS, len(w)) and equal >= LEAST_SHARE * n and equal > best.get(k, (0,))[0]:
                 best[k] = (equal, n, lo + start)
         return best

@@ -263,6 +263,29 @@ def test_decontamination_substitutions(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contamination(d, b).collect()) == want
 
 
+def changed(rng, n, places):
+    """An index of one item of n words, and a document of it with other words at the places."""
+    h = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
+    doc = h.copy()
+    doc[places] ^= np.uint64(1)
+    return decontamination.Index([(7, h)]), doc
+
+
+def test_more_equal_words_never_remove_a_match():
+    rng = random.Random(11)
+    index, doc = changed(rng, 51, [*range(13, 19), *range(32, 38)])
+    assert index.matches(doc)[0][0] >= 13 and index.matches(doc[:13])[0] == (13, 13, 0)
+    for _ in range(400):
+        n = rng.randint(13, 60)
+        index, doc = changed(rng, n, [k for k in range(n) if rng.random() < 0.25])
+        same = doc == index.words[0]
+        want = max((int(same[a:b].sum()) for a in range(n) for b in range(a + 1, n + 1) if same[a:b].sum() >= decontamination.LEAST_SHARE * (b - a)), default=0)
+        a, b = decontamination.qualifying(same)
+        assert int(same[a : b + 1].sum()) == want and want >= decontamination.LEAST_SHARE * (b - a + 1)
+        if want >= 13 and index.hits(doc):
+            assert 0 in index.matches(doc)
+
+
 def brute_secrets(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?ia:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
