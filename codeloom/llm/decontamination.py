@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_RECORDS, map_batches, read_bytes, rows_out, work_path, write_bytes
 
-#: Masks over a window: 1 counts, 0 is ignored.
-MASKS = ("110111010011", "101101110101", "111001011101")
+#: Masks over a window: 1 counts, 0 is ignored. The last leaves nothing out: LEAST_WORDS equal words
+#: with a share of LEAST_SHARE stand in at most a quarter as many runs and one, so that one run has
+#: four words or more.
+MASKS = ("110111010011", "101101110101", "111001011101", "1111")
 SPAN = len(MASKS[0])
 #: A verified overlap has so many equal words (or the whole item), and this share of equal words.
 LEAST_WORDS, LEAST_SHARE, LEAST_ITEM = 13, 0.8, 5

@@ -286,6 +286,16 @@ def test_more_equal_words_never_remove_a_match():
             assert 0 in index.matches(doc)
 
 
+def test_every_pattern_of_substitutions_hits():
+    import itertools
+
+    patterns = [(16, x) for x in itertools.combinations(range(16), 3)] + [(n, range(r, n, 5)) for n in range(20, 60, 5) for r in range(5)]
+    rng = random.Random(12)
+    for n, places in patterns:
+        index, doc = changed(rng, n, list(places))
+        assert 0 in index.matches(doc), (n, places)
+
+
 def brute_secrets(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?ia:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
