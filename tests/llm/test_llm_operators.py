@@ -180,6 +180,21 @@ def test_quality_bands():
     assert quality.repeated_words(ids) == quality.repeated_wide(ids) == 10
 
 
+def test_quality_of_every_part():
+    rng = random.Random(9)
+    words_of = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    noise = words_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20000).encode()
+    vocabulary = words_of("abcdefghijklmnopqrstuvwxyz", 800).split()
+    prose = " ".join(rng.choice(vocabulary) for _ in range(20000)).encode()
+    for n in (600, 1500, 3500, 8191, 40000, 100000):
+        assert quality.bands(prose[:n])[2]
+        assert not quality.bands(prose[: n // 2] + noise[: n - n // 2])[2]
+        assert not quality.bands(noise[: n * 4 // 5] + prose[: n // 5])[2]
+        if n > 3000:
+            assert not quality.bands(prose[: n // 2] + (b"one line again and again\n" * 4000)[: n // 2])[2]
+    assert not quality.bands(prose[:4096] + noise[:4095])[2]
+
+
 def brute_license(text):
     ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     at, labels = [], set()
