@@ -3,7 +3,8 @@
 The field is trained from a small labelled table of sentences (TRAINING, written here, or any
 table of the same form) and finds names after a cue, birth dates, identity numbers and local
 phone numbers. Texts are cut into words at white space and into pieces at line ends and
-after PIECE words; all pieces of a batch are decoded together by Viterbi in numpy.
+after PIECE words; a piece is decoded with CONTEXT words of its line on both sides, whose own labels
+come from their pieces. All pieces of a batch are decoded together by Viterbi in numpy.
 
 Edge cases: null text is empty; a text without spans has counts 0, the hash of the empty string
 and an empty span list; repeated rows give a row each; other columns are ignored.
@@ -26,8 +27,8 @@ from .crf import Crf
 BASE = ("email", "ip", "card", "phone")
 FOUND = ("name", "birth", "idno", "local")
 KINDS = (*BASE, *FOUND)
-#: Words of a piece that is decoded at once.
-PIECE = 64
+#: Words of a piece that is decoded at once, and of its line that are decoded with it on each side.
+PIECE, CONTEXT = 64, 8
 
 # base patterns; a search can only start where a run of its characters starts, so it is linear
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -205,19 +206,25 @@ def trained(sentences: tuple[str, ...] = TRAINING) -> Crf:
 
 def field_spans(texts: list[str], crf: Crf, known: Words) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) that the field finds in each text."""
-    words, sizes, of = [], [], []
+    words, sizes, of, skip, core = [], [], [], [], []
     for t, text in enumerate(texts):
         for line in text.split("\n"):
             ws = line.split()
             for i in range(0, len(ws), PIECE):
-                piece = ws[i : i + PIECE]
+                piece = ws[max(0, i - CONTEXT) : i + PIECE + CONTEXT]
                 words.append(piece)
                 sizes.append(len(piece))
                 of.append(t)
+                skip.append(min(i, CONTEXT))
+                core.append(min(PIECE, len(ws) - i))
     out: list[list] = [[] for _ in texts]
     lengths = np.array(sizes, np.int64)
     f = np.fromiter((known[w] for p in words for w in p), np.int64, int(lengths.sum()))
     labels = crf.decoded(features(f, lengths), lengths)
+    at = np.arange(len(f)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first, lengths_inner = np.array(skip, np.int64), np.array(core, np.int64)
+    labels = labels[(at >= np.repeat(first, lengths)) & (at < np.repeat(first + lengths_inner, lengths))]
+    lengths = lengths_inner
     if not labels.any():
         return out
     begin = np.cumsum(lengths) - lengths

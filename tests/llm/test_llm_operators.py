@@ -402,6 +402,15 @@ def test_field_held_out():
     assert [(text[a:b], pii.KINDS[k]) for a, k, b in pii.field_spans([text], crf, known)[0]] == [("Eva Stone", "name"), ("321-54-9876", "idno")]
 
 
+def test_field_at_every_place_of_a_long_line(monkeypatch):
+    crf, known = pii.trained(), pii.Words()
+    spans = ("My name is Eva Stone and", "born on 14/02/1971 there", "SSN: 321-54-9876 and")
+    texts = [" ".join(["word"] * n) + f" {x} " + " ".join(["other"] * 70) for n in range(50, 140) for x in spans]
+    got = pii.field_spans(texts, crf, known)
+    monkeypatch.setattr(pii, "PIECE", 10_000)
+    assert got == pii.field_spans(texts, crf, known) and all(got)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
