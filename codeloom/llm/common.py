@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Records of one Arrow batch; with texts of 100 KB a batch stays near 50 MB.
-BATCH_RECORDS = 512
+#: Records and bytes of one Arrow batch, whichever comes first; a longer text is a batch of its own.
+BATCH_RECORDS, BATCH_BYTES = 512, 16 << 20
 
 #: ASCII white space as the contracts define it; ``bytes.split()`` cuts at exactly these.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,10 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where none is set, as in local tests, a temporary folder is made and set.
+    Only a local session without one, as in tests, gets a temporary folder; elsewhere it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -75,12 +78,51 @@ def write_bytes(uri: str, data: bytes) -> None:
         f.write(data)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by records and bytes, unless smaller bounds are set.
+
+    Spark reads these settings when a plan runs, so they cannot be given with one call.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in (("maxRecordsPerBatch", BATCH_RECORDS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < size(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for very long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def byte_sizes(texts: pa.Array) -> list[int]:
+    return pc.binary_length(texts).fill_null(0).to_pylist()
+
+
+def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring ranges whose sizes sum to ``most`` or little more."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours to its smallest neighbour, then its smaller ones. Neighbour lists are never
     gathered: the smallest neighbour is an aggregate that is joined back, so that a node with a
     very large number of links is spread over many tasks. The rounds end when nothing changes;
-    each round is a stored table.
+    each round is a stored table, and the last one can be given to ``discard``.
     """
     spark = links.sparkSession
     now = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
@@ -35,4 +35,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = new
         if done:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    out._stored_at = now._stored_at
+    return out

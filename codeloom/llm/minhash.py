@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, partitions, rows_out, stored
+from .common import byte_sizes, discard, map_batches, partitions, pieces, rows_out, stored, unused
 from .components import components
 from .decontamination import WordHashes, word_hashes
 
@@ -38,8 +38,9 @@ SHINGLE, PERCENT = 5, 75
 T, R = 14, 3
 #: Buckets up to this size give all their pairs.
 SMALL = 24
-#: Queries in a block and members in a share, when what large buckets leave is compared.
-QUERIES, MEMBERS = 2000, 20000
+#: Bytes of sets in a block of queries and in a share of members, when what large buckets leave is
+#: compared; bytes of text or sets worked on at once.
+QUERIES, MEMBERS, CHUNK = 1 << 20, 1 << 22, 1 << 18
 
 _FACTORS = (np.arange(3, 3 + SHINGLE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -87,11 +88,11 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set), sketch."""
+    """doc_id, h (hash of the text), n (set size), cls (hash of the set), sketch."""
 
     def run(batches):
         import xxhash
@@ -99,13 +100,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             texts = batch.column("text")
-            for i in range(0, len(texts), 64):
-                sets = [shingles(x, known) for x in texts.slice(i, 64).to_pylist()]
+            for i, j in pieces(byte_sizes(texts), CHUNK):
+                sets = [shingles(x, known) for x in texts.slice(i, j - i).to_pylist()]
                 rows = sketches(sets)
-                yield rows_out({"doc_id": batch.column("id").slice(i, 64), "n": [len(s) for s in sets], "cls": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": list(rows)}, _SIGNED)
+                yield rows_out({"doc_id": batch.column("id").slice(i, j - i), "h": batch.column("h").slice(i, j - i), "n": [len(s) for s in sets], "cls": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": list(rows)}, _SIGNED)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, n long, cls binary, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, "doc_id long, h long, n long, cls binary, sketch array<long>")
 
 
 def sketch_rows(classes: DataFrame) -> DataFrame:
@@ -145,9 +146,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(y) < len(x):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -163,28 +167,46 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
         known = WordHashes()
         for batch in batches:
-            sets = [shingles(x, known).tobytes() for x in batch.column("text").to_pylist()]
-            own = pa.array([xxhash.xxh3_128_digest(x) == c for x, c in zip(sets, batch.column("cls").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "set"]).filter(own)
+            for i, j in pieces(byte_sizes(batch.column("text")), CHUNK):
+                part = batch.slice(i, j - i)
+                sets = [shingles(x, known).tobytes() for x in part.column("text").to_pylist()]
+                own = pa.array([xxhash.xxh3_128_digest(x) == c for x, c in zip(sets, part.column("cls").to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(sets, pa.binary())], names=["cls", "set"]).filter(own)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("cls", "text")
     return map_batches(rows, run, "cls binary, set binary")
 
 
+def families(rest: DataFrame) -> DataFrame:
+    """(cls, family): buckets that share members are one family.
+
+    A class gives one link, to the smallest first member of its buckets; its other first members
+    are linked with that one, and of these links only the different ones count.
+    """
+    pairs = stored(rest.select("cls", F.col("first.cls").alias("f")).distinct(), "family-links")
+    least = pairs.groupBy("cls").agg(F.min("f").alias("f0"))
+    links = least.select(F.col("f0").alias("a"), F.col("cls").alias("b")).union(pairs.join(least, "cls").select("f0", "f").distinct())
+    out = components(links)
+    discard(rest.sparkSession, pairs)
+    return out
+
+
 def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of large buckets that are in different components.
 
-    Buckets that share members are one family. In each family, the members outside its largest
-    component are the queries; they are compared with all members, exactly, in blocks: a task has a
-    block of queries as one sorted list of shingles, and runs a share of the members through it.
+    In each family, the members outside its largest component are the queries; they are compared
+    with all members, exactly, in blocks: a task has a block of queries as one sorted list of
+    shingles, and runs a share of the members through it. Blocks and shares are cut by bytes.
     """
     spark = rest.sparkSession
-    family = components(rest.select(F.col("first.cls").alias("a"), F.col("cls").alias("b"))).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    members = rest.select("cls", "c").distinct().join(family, "cls")
-    top = members.groupBy("family", "c").count().groupBy("family").agg(F.max(F.struct("count", "c"))["c"].alias("top"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    shares = top.select("family", "top", F.ceil((F.col("all") - F.col("most")) / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("shares")).where("blocks > 0")
+    family = families(rest)
+    members = rest.select("cls", "c", "n").distinct().join(family.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
+    of = members.groupBy("family", "c").agg(F.count("*").alias("count"), F.sum("n").alias("n")).groupBy("family")
+    top = of.agg(F.max(F.struct("count", "c", "n")).alias("top"), F.sum("n").alias("n"))
+    shares = top.select("family", F.col("top.c").alias("top"), F.ceil(8 * (F.col("n") - F.col("top.n")) / QUERIES).cast("int").alias("blocks"), F.ceil(8 * F.col("n") / MEMBERS).cast("int").alias("shares")).where("blocks > 0")
     members = stored(members.join(shares, "family").join(sets, "cls").withColumn("h", F.xxhash64("cls")), "members")
+    discard(spark, family)
     queries = members.where("c <> top").select("family", F.pmod("h", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "cls", "c", "set")
     others = members.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.shiftright("h", 20), F.col("shares").cast("long")).cast("int").alias("share"), F.lit(1).alias("role"), "cls", "c", "set")
     key = ["family", "block", "share"]
@@ -204,10 +226,11 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
                 if not queries:
                     continue
                 if index is None:
+                    size = np.array([len(q[2]) for q in queries])
                     every = np.concatenate([q[2] for q in queries])
-                    of = np.repeat(np.arange(len(queries)), [len(q[2]) for q in queries])
+                    of = np.repeat(np.arange(len(queries)), size)
                     order = np.argsort(every, kind="stable")
-                    index = every[order], of[order], np.array([len(q[2]) for q in queries])
+                    index = every[order], of[order], size
                 every, of, size = index
                 lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
                 n = hi - lo
@@ -217,26 +240,45 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
                     # one link of a query to a component joins the two; more would say the same
                     if queries[q][1] != r["c"] and (q, r["c"]) not in joined:
                         joined.add((q, r["c"]))
-                        out.append((min(queries[q][0], r["cls"]), max(queries[q][0], r["cls"])))
+                        out.append((queries[q][1], r["c"]))
+            out = list(set(out))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     dealt = queries.union(others).repartition(partitions(spark), *key).sortWithinPartitions(*key, "role")
-    return map_batches(dealt, run, "a binary, b binary").distinct()
+    out = stored(map_batches(dealt, run, "a binary, b binary").distinct(), "verified")
+    discard(spark, members)
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links: only components that they join are visited."""
+    named = lambda x: found.select(F.col("node").alias(f"{x}_node"), F.col("component").alias(f"{x}_of"))
+    told = links.join(named("a"), F.col("a") == F.col("a_node"), "left").join(named("b"), F.col("b") == F.col("b_node"), "left")
+    told = told.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).where("a <> b")
+    more = components(told)
+    also = more.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    out = found.join(also, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    out = stored(out.union(more.join(found.select("node"), "node", "left_anti")), "components")
+    discard(found.sparkSession, more)
+    return out
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: doc_id, h (hash of the text), n (set size), component_id; stored."""
+    spark = docs.sparkSession
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     some = signed.where("n > 0")
     classes = some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = classes.select("cls", "doc_id").join(wanted, "cls", "left_semi")
-        sets = stored(shingle_sets(docs, wanted, id_col, text_col), "sets")
+        return stored(shingle_sets(docs, wanted, id_col, text_col), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
         out = stored(verified(pairs, sets.dropDuplicates(["cls"])), "verified")
-        discard(docs.sparkSession, sets)
+        discard(spark, sets)
         return out
 
     def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -248,35 +290,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = stored(parts.join(shared, "k"), "sketches")
     tried = stored(to_first(mine.where(F.col("size") > SMALL)), "pairs")
     links = confirmed(tried)
-    found = stored(components(links), "components")
+    first = components(links)
 
     # tables: only buckets whose members are not one component yet
-    buckets = with_component(table_keys(mine.select("k", "slot", "cls", "n")), found)
+    buckets = with_component(table_keys(mine.select("k", "slot", "cls", "n")), first)
     open_keys = lambda t: t.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("cls", "n")).alias("first")).where("low <> high").drop("low", "high")
     rows = stored(buckets.join(open_keys(buckets), "key"), "buckets")
+    discard(spark, mine, links)
     large = rows.where(F.col("size") > SMALL)
     pairs = small_pairs(rows).union(to_first(large)).distinct().join(tried, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
-    links = links.union(confirmed(pairs))
-    found = stored(components(links), "components")
+    links = confirmed(pairs)
+    found = extended(first, links)
+    discard(spark, first, tried, pairs, links)
 
     # what large buckets leave: members in different components that no pair has compared
     rest = with_component(large.select("key", "cls", "n"), found)
     rest = stored(rest.join(open_keys(rest).select("key", "first"), "key"), "rest")
+    discard(spark, rows)
     if not rest.isEmpty():
-        sets = shingle_sets(docs, classes.select("cls", "doc_id").join(rest.select("cls").distinct(), "cls", "left_semi"), id_col, text_col)
-        more = stored(block_links(rest, stored(sets, "sets").dropDuplicates(["cls"])), "verified")
-        found = stored(components(links.union(more)), "components")
+        sets = sets_of(rest.select("cls").distinct())
+        links = block_links(rest, sets.dropDuplicates(["cls"]))
+        before, found = found, extended(found, links)
+        discard(spark, sets, links, before)
     named = classes.select("cls", "doc_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "c").select("cls", "component_id")
-    out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("k")).join(named, F.col("k") == F.col("cls"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = signed.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("cls")).alias("k")).join(named, F.col("k") == F.col("cls"), "left")
+    out = stored(out.select("doc_id", "h", "n", F.coalesce("component_id", "doc_id").alias("component_id")), "groups")
+    discard(spark, signed, classes, rest, found)
+    return out
+
+
+def _is_kept() -> Column:
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", _is_kept().alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, with the columns of ``docs``; rows that repeat an id and a text stay once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return out.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    names = unused(docs, "_id", "_text")
+    doc_id = F.col("doc_id").cast("long")
+
+    def keyed(rows: DataFrame, h: Column) -> DataFrame:
+        return rows.select("*", F.coalesce(doc_id, F.lit(0)).alias(names[0]), F.xxhash64(doc_id.isNull(), h).alias(names[1]))
+
+    kept = keyed(_grouped(docs, "doc_id", "text").where(_is_kept()), F.col("h")).select(names)
+    # joined and reduced on the same two columns: one exchange of the texts
+    return keyed(docs, F.xxhash64("text")).join(kept, names, "left_semi").dropDuplicates(names).select(docs.columns)

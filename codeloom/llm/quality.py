@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_RECORDS, map_batches, rows_out
+from .common import bound_batches, map_batches, rows_out
 
 #: The base rules.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 50, 50
@@ -127,5 +127,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     def passes(texts: pa.Array) -> pa.Array:
         return pa.array([measures(x)[6] for x in texts.to_pylist()], pa.bool_())
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
+    bound_batches(docs.sparkSession)
     return docs.where(passes("text"))
