@@ -17,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_RECORDS, map_batches, read_bytes, rows_out, work_path, write_bytes
+from .common import bound_batches, map_batches, read_bytes, rows_out, work_path, write_bytes
 
 #: Masks over a window: 1 counts, 0 is ignored. The last leaves nothing out: LEAST_WORDS equal words
 #: with a share of LEAST_SHARE stand in at most a quarter as many runs and one, so that one run has
@@ -44,20 +45,36 @@ _FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) |
 
 
 class WordHashes(dict):
-    """Hash of each word, remembered up to a bound."""
+    """Hash of each word; short words are remembered, up to about 25 MB."""
+
+    MOST, LONGEST = 150_000, 64
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
         return h
 
 
+#: Bytes of a text whose words are listed at once.
+LISTED = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    data = (text or "").encode().lower()
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + LISTED)
+        end = cut.start() if cut else len(data)
+        words = data[at:end].split()
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out)
 
 
 def masked(h: np.ndarray, mask: str) -> np.ndarray:
@@ -195,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a verified overlap, unchanged; no exchange."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_RECORDS))
+    bound_batches(docs.sparkSession)
     for uri in build_indexes(benchmark):
 
         def test(texts: pa.Array, uri=uri) -> pa.Array:

@@ -24,14 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, map_batches, partitions, read_bytes, rows_out, work_path, write_bytes
+from .common import byte_sizes, filesystem, map_batches, partitions, pieces, read_bytes, rows_out, work_path, write_bytes
 
 NO_ID = -(2**63)
 SHARD = "name string, part int, first_id long, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-#: Entries of the memory of one process for pieces already encoded; it is emptied beyond that.
-MEMORY = 1_000_000
+#: Pieces that one process remembers, and the longest of them in characters (about 60 MB); the
+#: memory is emptied beyond that.
+MEMORY, LONGEST = 300_000, 64
+#: Bytes of text in a shard at most, on average; bytes of ids read at once.
+SHARD_BYTES, READ_BYTES = 256 << 20, 8 << 20
 
 #: Fixed value: how a byte-level vocabulary writes a space.
 SPACE_BYTE = "\u0120"
@@ -43,19 +46,25 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """Whole-text encoding through the tokenizers library, remembering encoded pieces.
 
-    A byte-level BPE with the common pre-token pattern always starts a pre-token at a single
-    space between two non-space characters, so the pieces between such spaces are encoded
-    independently and their ids joined: the same ids as for the whole text.
+    A byte-level BPE with the library's own pre-token pattern and no normaliser always starts a
+    pre-token at a single space between two non-space characters, so the pieces between such spaces
+    are encoded independently and their ids joined: the same ids as for the whole text. Texts with
+    the string of an added token, and all texts under a tokenizer of another kind, are encoded
+    whole. With ``special_as_text`` strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        told = json.loads(self.tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        self.cuts = told["model"]["type"] == "BPE" and not told["normalizer"] and not told["truncation"] and not told["padding"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not told["model"].get("dropout")
+        self.added = [x["content"] for x in told["added_tokens"] if not (special_as_text and x["special"])]
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_BYTE) for i in range(self.tokenizer.get_vocab_size())])
@@ -65,8 +74,9 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(got.ids, self.dtype) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        """Add ``pieces`` to ``known``, each encoded with ``lead`` (nothing or a space) before it.
+    def _learn(self, known: dict[str, bytes], lead: str, pieces: set[str]) -> list[str]:
+        """Add ``pieces`` to ``known``, each encoded with ``lead`` (nothing or a space) before it;
+        returns the new ones that are too long to be remembered.
 
         Pieces led by a space are encoded many in a row: an id that begins with a space begins the
         next piece. Where the number of these is not that of the pieces (spaces inside a piece or
@@ -83,24 +93,34 @@ class Encoder:
                     known.update(zip(some, [data[j:k] for j, k in zip(at, at[1:])]))
                     continue
             known.update(zip(some, [x.tobytes() for x in self._ids([lead + x for x in some])]))
+        return [x for x in new if len(x) > LONGEST]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, as bytes of the files' type."""
         if len(self.first) + len(self.rest) > MEMORY:
             self.first.clear()
             self.rest.clear()
-        cut, heads, tails = [], set(), set()
-        for text in texts:
-            parts = _LONE_SPACE.split(text or "") if _TWO_SPACES.search(text or "") else (text or "").split(" ")
+        cut, whole, heads, tails = [], {}, set(), set()
+        for k, text in enumerate(texts):
+            text = text or ""
+            if not self.cuts or any(x in text for x in self.added):
+                whole[k] = self._ids([text])[0].tobytes() + self.end
+                cut.append(None)
+                continue
+            parts = _LONE_SPACE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
             heads.add(parts[0])
             tails.update(parts[1:])
             cut.append(parts)
-        self._learn(self.first, "", heads)
-        self._learn(self.rest, " ", tails)
+        long = self._learn(self.first, "", heads), self._learn(self.rest, " ", tails)
         get = self.rest.__getitem__
-        return [self.first[x[0]] + b"".join(map(get, x[1:])) + self.end for x in cut]
+        out = [whole[k] if x is None else self.first[x[0]] + b"".join(map(get, x[1:])) + self.end for k, x in enumerate(cut)]
+        for known, pieces in zip((self.first, self.rest), long, strict=True):
+            for x in pieces:
+                del known[x]
+        return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
@@ -128,8 +148,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
                 files.create_dir(path.rpartition("/")[0], recursive=True)
                 data = files.open_output_stream(f"{path}.bin")
             texts = batch.column("text")
-            for i in range(0, len(texts), 64):
-                encoded = encoder.encode(texts.slice(i, 64).to_pylist())
+            for i, j in pieces(byte_sizes(texts), 1 << 18):
+                encoded = encoder.encode(texts.slice(i, j - i).to_pylist())
                 data.write(b"".join(encoded))
                 sizes.append(np.array([len(x) for x in encoded], np.int64) // dtype.itemsize)
             ids.append(batch.column("id").fill_null(NO_ID).to_numpy())
@@ -144,8 +164,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
         yield pa.RecordBatch.from_pydict({"name": [name], "part": pa.array([task.partitionId()], pa.int32()), "first_id": [int(ids[0])], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not shards:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(partitions(spark), -(-size // SHARD_BYTES))
     key = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(shards or partitions(spark), *key).sortWithinPartitions(*key, "text")
+    dealt = rows.repartitionByRange(shards, *key).sortWithinPartitions(*key, "text")
     found, base = sorted(map_batches(dealt, write, SHARD).collect(), key=lambda r: (r.first_id, r.part)), 0
     manifest = []
     for r in found:
@@ -155,26 +178,28 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
     return manifest
 
 
-def _mapped(uri: str, dtype: str) -> np.ndarray:
-    files, path = filesystem(uri)
-    if files.type_name == "local":
-        return np.memmap(path, dtype, "r")
-    return np.frombuffer(read_bytes(uri), dtype)
-
-
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:
-    """Per document of the files under ``out``: doc_id, start, n_tokens, ids_crc32."""
+    """Per document of the files under ``out``: doc_id, start, n_tokens, ids_crc32.
+
+    Files are read by ranges, of READ_BYTES or one document's ids.
+    """
     told = json.loads(read_bytes(f"{out}/manifest.json"))
-    dtype = told["dtype"]
+    dtype = np.dtype(told["dtype"])
 
     def read(batches):
         for batch in batches:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, at, docs = (_mapped(f"{out}/{name}.{kind}", d) for kind, d in (("bin", dtype), ("idx", "<i8"), ("doc", "<i8")))
-                for i in range(0, len(docs), 4096):
-                    k = np.arange(i, min(i + 4096, len(docs)))
-                    crc = [zlib.crc32(ids[at[j] : at[j + 1]].astype("<u4").tobytes()) for j in k]
-                    yield rows_out({"doc_id": pa.array(np.asarray(docs[k]), mask=docs[k] == NO_ID), "start": base + at[k], "n_tokens": at[k + 1] - at[k], "ids_crc32": crc}, _DIGEST)
+                files, path = filesystem(f"{out}/{name}")
+                with files.open_input_file(f"{path}.bin") as ids, files.open_input_file(f"{path}.idx") as idx, files.open_input_file(f"{path}.doc") as doc:
+                    n = doc.size() // 8
+                    for first in range(0, n, 1 << 16):
+                        some = min(1 << 16, n - first)
+                        at = np.frombuffer(idx.read_at(8 * (some + 1), 8 * first), "<i8")
+                        docs = np.frombuffer(doc.read_at(8 * some, 8 * first), "<i8")
+                        for i, j in pieces((np.diff(at) * dtype.itemsize).tolist(), READ_BYTES):
+                            data = np.frombuffer(ids.read_at(int(at[j] - at[i]) * dtype.itemsize, int(at[i]) * dtype.itemsize), dtype).astype("<u4")
+                            crc = [zlib.crc32(data[a - at[i] : b - at[i]]) for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)]
+                            yield rows_out({"doc_id": pa.array(docs[i:j], mask=docs[i:j] == NO_ID), "start": base + at[i:j], "n_tokens": np.diff(at[i : j + 1]), "ids_crc32": crc}, _DIGEST)
 
     shards = [(x["name"], x["base"]) for x in told["shards"]]
     table = spark.createDataFrame(shards, "name string, base long")

@@ -100,6 +100,37 @@ def test_encoder_pieces():
         assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_encoder_special_tokens(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, special = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>"
+    rng = random.Random(2)
+    texts = [special, "a b" + special + "c d", f"x {special} y", "plain text"] + ["".join(rng.choice(["a", " ", "  ", special, special[:5], "b c", "\n"]) for _ in range(8)) for _ in range(200)]
+    ids = lambda e, x: np.frombuffer(e.encode([x])[0], e.dtype).tolist()[:-1]
+    e, plain = token_files.Encoder(tokenizer_path(), 2), token_files.Encoder(tokenizer_path(), 2, special_as_text=True)
+    assert ids(e, special) == [50256]
+    for x in texts:
+        assert ids(e, x) == t.encode(x, add_special_tokens=False).ids
+    t.encode_special_tokens = True
+    for x in texts:
+        assert ids(plain, x) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_encoder_of_other_tokenizers_and_long_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), token_files.Encoder(tokenizer_path("word_bpe_49k.json"), 2)
+    assert not e.cuts
+    for x in ("Some Words here  and there", "", "é 中文"):
+        assert np.frombuffer(e.encode([x])[0], e.dtype).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+    t, e = Tokenizer.from_file(tokenizer_path()), token_files.Encoder(tokenizer_path(), 2)
+    monkeypatch.setattr(token_files, "MEMORY", 50)
+    for k in range(20):
+        texts = [f"word{k} " + "中" * 300 + f" {k}x" * 30, "A" * 500 + " b"]
+        assert [np.frombuffer(x, e.dtype).tolist()[:-1] for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert not any(len(x) > token_files.LONGEST for x in [*e.first, *e.rest])
+
+
 def test_targets(spark):
     sizes = [("a", 1000), ("b", 10), ("c", 500), (None, 30), ("é", 0), ("z", 7)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
@@ -514,6 +545,34 @@ def test_near_duplicates(spark, docs, empty, small, monkeypatch):
         assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_kept_documents_with_clashing_names(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, long, 5, 6, "x"), (2, long + " more", 7, 8, "y"), (2, "another text of its own here", 9, 10, "z"), (3, None, 1, 2, "n"), (None, "no id", 3, 4, "m"), (3, None, 1, 2, "n")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _id long, _text long, _h string")
+    got = [tuple(r) for r in minhash.kept_documents(df).collect()]
+    assert minhash.kept_documents(df).schema == df.schema
+    assert sorted(map(str, got)) == sorted(map(str, [rows[0], *rows[2:5]]))
+
+
+def test_near_copies_in_one_large_group(spark, monkeypatch):
+    """Thousands of copies of one text about the threshold: in chains, and beside the largest component."""
+    rng = random.Random(21)
+    monkeypatch.setattr(minhash, "QUERIES", 40_000)
+    monkeypatch.setattr(minhash, "MEMBERS", 200_000)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(1500):
+        ws = list(base)
+        for i in rng.sample(range(60), rng.choice([1, 1, 2, 2, 3, 4])):
+            ws[i] = f"c{rng.randrange(6)}"
+        rows.append((k, " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_near(rows)
+    assert 20 < sum(r[3] for r in want) < 1400
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert sum(got[r[0]] != r[2] for r in want) <= 15
+
+
 def test_components(spark):
     from codeloom.llm.components import components
 
