@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: Records and bytes of one Arrow batch, whichever comes first; a longer text is a batch of its own.
 BATCH_RECORDS, BATCH_BYTES = 512, 16 << 20
@@ -96,6 +98,32 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def ordered_parts(df: DataFrame, keys: list, name: str) -> DataFrame:
+    """``df`` in the order of ``keys`` with ``part`` and ``g``, its number from 0 over all rows; stored.
+
+    A range exchange deals the rows evenly however many have one key; the numbers of a part begin
+    after the rows of those before it (one row a part is gathered for that). Rows with equal keys
+    stand in any order.
+    """
+    n = partitions(df.sparkSession)
+    t = stored(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("g", F.monotonically_increasing_id()), name)
+    part, row = F.shiftright("g", 33).cast("int"), F.col("g").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = t.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    out = t.withColumn("part", part).withColumn("g", row).join(F.broadcast(sizes), "part").withColumn("g", F.col("g") + F.col("base")).drop("base")
+    out._stored_at = t._stored_at
+    return out
+
+
+def carried(t: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the largest ``value`` at or before each row in the order of (part, g), over all parts."""
+    t = t.withColumn(name, F.max(value).over(W.partitionBy("part").orderBy("g").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    last = t.groupBy(F.col("part").alias("_part")).agg(F.max(name).alias("_last"))
+    last = last.select("_part", F.max("_last").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_last"))
+    t = t.join(F.broadcast(last), F.col("part") == F.col("_part"))
+    return t.withColumn(name, F.greatest(name, "_last")).drop("_part", "_last")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, made from ``names``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -602,12 +602,12 @@ def test_quotes(spark):
     got = {r.turn: (r.text, r.n_quotes, r.n_linked, r.reply_to, r.depth, r.place) for r in got}
     assert got == {
         0: (TALK[0][3], 0, 0, None, 0, 0),
-        1: (TALK[1][3], 0, 0, 0, 1, 3),
-        2: ("That one stays closed all winter.", 1, 1, 0, 1, 1),
-        3: ("What a pity, truly so.", 2, 2, 2, 2, 2),
-        4: ("Thanks for that information.", 1, 1, 1, 2, 4),
-        5: ("plain answer text", 1, 0, 4, 3, 5),
-        6: ("", 0, 0, 5, 4, 6),
+        1: (TALK[1][3], 0, 0, 0, 1, 1),
+        2: ("That one stays closed all winter.", 1, 1, 0, 1, 5),
+        3: ("What a pity, truly so.", 2, 2, 2, 2, 6),
+        4: ("Thanks for that information.", 1, 1, 1, 2, 2),
+        5: ("plain answer text", 1, 0, 4, 3, 3),
+        6: ("", 0, 0, 5, 4, 4),
     }
     assert quotes.linked(spark.createDataFrame([], df.schema)).count() == 0
 
@@ -629,17 +629,89 @@ def brute_order(parents):
     return {n: (depth[n], k) for k, n in enumerate(out)}
 
 
+def reply_rows(rng, sizes):
+    """Messages with parents for ``quotes.ordered``, dealt over parts, and their (depth, place)."""
+    rows, want, g = [], {}, 0
+    for conv, size in enumerate(sizes):
+        chain = rng.random()
+        parents = {1: None} | {n: (n - 1 if rng.random() < chain else rng.randint(1, n - 1)) for n in range(2, size + 1)}
+        rows += [(conv, n, "r", "t", 0, 0, g + n - 1, g, None if p is None else g + p - 1) for n, p in parents.items()]
+        want |= {(conv, n): v for n, v in brute_order(parents).items()}
+        g += size
+    return [(r[6] * 5 // max(1, g), *r) for r in rows], want
+
+
 def test_reply_order(spark):
     rng = random.Random(6)
-    rows, want = [], {}
-    for conv in range(12):
-        parents = {1: None} | {n: (n - 1 if rng.random() < 0.6 else rng.randint(1, n - 1)) for n in range(2, rng.choice([3, 20, 150]))}
-        rows += [(conv, n, "r", n, "t", 0, 0, p) for n, p in parents.items()]
-        want |= {(conv, n): v for n, v in brute_order(parents).items()}
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, nth long, text string, n_quotes long, n_linked long, parent long")
+    rows, want = reply_rows(rng, [1, 2, 3, 3, 20, 20, 150, 150, 150, 700])
+    df = spark.createDataFrame(rows, "part int, conv_id long, turn long, role string, text string, n_quotes long, n_linked long, g long, first long, parent long")
     assert {(r.conv_id, r.turn): (r.depth, r.place) for r in quotes.ordered(df).collect()} == want
 
 
+def test_reply_order_of_two_deep_threads(spark):
+    """Every message answers the one two before it: two chains, each of half of the messages."""
+    parents = {1: None, 2: 1} | {n: n - 2 for n in range(3, 601)}
+    rows = [(n // 200, 0, n, "r", "t", 0, 0, n, 1, p) for n, p in parents.items()]
+    df = spark.createDataFrame(rows, "part int, conv_id long, turn long, role string, text string, n_quotes long, n_linked long, g long, first long, parent long")
+    got = {r.turn: (r.depth, r.place) for r in quotes.ordered(df).collect()}
+    order = [1, *range(2, 601, 2), *range(3, 601, 2)]
+    assert {n: p for n, (_, p) in got.items()} == {n: k for k, n in enumerate(order)}
+    assert got[599][0] == 299 and got[600][0] == 300
+
+
+def brute_talk(rows):
+    """reply_to, depth and place of each message (conv, turn, role, text) by the docstring."""
+    plain = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    out = {}
+    for conv in {r[0] for r in rows}:
+        ms = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        own, parents = {}, {}
+        for n, (_, turn, _, text) in enumerate(ms):
+            passages = []
+            for line in text.split("\n"):
+                marks = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+                depth, line = (marks[0].count(">"), line[marks.end() :]) if marks else (0, line)
+                if passages and passages[-1][0] == depth:
+                    passages[-1][1].append(line)
+                else:
+                    passages.append((depth, [line]))
+            parents[n] = n - 1 if n else None
+            for depth, lines in passages:
+                found = [own[plain(x)] for x in ["\n".join(lines), *lines] if plain(x) and plain(x) in own]
+                if depth == 1 and found:
+                    parents[n] = found[0]
+                    break
+            mine = [lines for depth, lines in passages if depth == 0]
+            for x in ["\n".join(x for lines in mine for x in lines), *["\n".join(x) for x in mine], *[y for x in mine for y in x]]:
+                if plain(x):
+                    own.setdefault(plain(x), n)
+        order = brute_order(parents)
+        for n, p in parents.items():
+            out[conv, ms[n][1]] = (None if p is None else ms[p][1], *order[n])
+    return out
+
+
+def test_quotes_at_length(spark):
+    """Conversations with written quotes, most rows in one of them, ties of passages and short ones."""
+    rng = random.Random(31)
+    words_ = ["gate", "noon", "yes", "no", "river", "stone", "bridge", "ok", "later", "north"]
+    say = lambda: " ".join(rng.choice(words_) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for conv, size in ((1, 400), (2, 40), (3, 7), (None, 30)):
+        told = []
+        for turn in range(size):
+            lines = []
+            if told and rng.random() < 0.5:
+                lines += ["> " + x for x in rng.choice(told).split("\n")]
+            if told and rng.random() < 0.2:
+                lines += [">> " + rng.choice(told).split("\n")[0], "> no such words anywhere"]
+            own = [say() for _ in range(rng.randint(1, 3))]
+            told.append("\n".join(own))
+            rows.append((conv, turn, "r", "\n".join(lines + own)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    assert {(r.conv_id, r.turn): (r.reply_to, r.depth, r.place) for r in quotes.linked(df).collect()} == brute_talk(rows)
+
+
 def test_conversations_given(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = quotes.linked(df)
