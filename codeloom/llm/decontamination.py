@@ -3,16 +3,16 @@
 Words are lower-cased (A-Z) and cut at ASCII white space. Fixed masks over a window of words pick
 the positions that count; hashes of the picked words of all benchmark windows are joined with
 those of all document windows, so a substituted word at an ignored position changes nothing. Each
-hit is verified on its diagonal: the best-scoring stretch around it must have enough equal words
-and few substitutions; if it has not, any other stretch of the diagonal that has them counts.
+hit is verified on its diagonal: a stretch of it must have enough equal words and few
+substitutions, and the one with the most equal words counts.
 
 The benchmark index has a stated size bound; a larger benchmark is cut into blocks by item, and
 each block is a pass over the documents. Documents are never exchanged.
 
 Edge cases: null and empty texts match nothing; items with fewer words than the window are found
-only as whole equal sequences, those with under LEAST_ITEM words not at all; null ids are carried
-as null; repeated rows give their matches again; empty tables give an empty result; other columns
-are ignored.
+as whole equal sequences, those of one word too, wherever they stand; null ids are carried as null;
+repeated rows give their matches again; empty tables give an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +33,7 @@ from .common import bound_batches, map_batches, read_bytes, rows_out, work_path,
 MASKS = ("110111010011", "101101110101", "111001011101", "1111")
 SPAN = len(MASKS[0])
 #: A verified overlap has so many equal words (or the whole item), and this share of equal words.
-LEAST_WORDS, LEAST_SHARE, LEAST_ITEM = 13, 0.8, 5
-#: Score of an equal and of a substituted word when a stretch is grown.
-EQUAL, OTHER = 1, -2
+LEAST_WORDS, LEAST_SHARE = 13, 0.8
 #: Words of benchmark items in one block of the index (about 100 bytes each in memory).
 BLOCK_WORDS = 1_000_000
 
@@ -107,10 +105,10 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [x for x, _ in items]
         self.words = [h for _, h in items]
-        masks = [*MASKS, *sorted({"1" * len(h) for h in self.words if LEAST_ITEM <= len(h) < SPAN})]
+        masks = [*MASKS, *sorted({"1" * len(h) for h in self.words if 0 < len(h) < SPAN} - {*MASKS})]
         self.tables = []
         for mask in masks:
-            use = [(k, h) for k, h in enumerate(self.words) if (len(h) >= SPAN if mask in MASKS else len(h) == len(mask))]
+            use = [(k, h) for k, h in enumerate(self.words) if (len(h) == len(mask) or (len(h) >= SPAN and mask in MASKS))]
             found = [(masked(h, mask), k) for k, h in use]
             key = np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in found]])
             item = np.concatenate([np.zeros(0, np.int64), *[np.full(len(x), k) for x, k in found]]).astype(np.int64)
@@ -120,9 +118,9 @@ class Index:
             bits[(key >> np.uint64(42)).astype(np.int64)] = True
             self.tables.append((mask, key[order], item[order], at[order], bits))
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, diagonal, place) of windows in common: one place for each run of hits."""
-        found = {}
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """(item, diagonal) of windows in common, each once, as rows in order."""
+        found = [np.zeros((0, 2), np.int64)]
         for mask, key, item, at, bits in self.tables:
             q = masked(h, mask)
             maybe = np.flatnonzero(bits[(q >> np.uint64(42)).astype(np.int64)])
@@ -130,33 +128,25 @@ class Index:
                 continue
             q = q[maybe]
             lo, hi = np.searchsorted(key, q, "left"), np.searchsorted(key, q, "right")
-            for i, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k, j in zip(item[a:b].tolist(), at[a:b].tolist(), strict=True):
-                    found.setdefault((k, i - j, i // SPAN), i)
-        return {(k, d, i) for (k, d, _), i in found.items()}
+            n = hi - lo
+            j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
+            found.append(np.unique(np.column_stack((item[j], np.repeat(maybe, n) - at[j])), axis=0))
+        return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, h: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """For each item with a verified overlap: equal words, aligned words, place in the document."""
         best: dict[int, tuple[int, int, int]] = {}
-        other: dict[tuple[int, int], tuple[int, int]] = {}
-        for k, d, i in sorted(self.hits(h)):
+        for k, d in self.hits(h).tolist():
             w = self.words[k]
             lo, hi = max(0, d), min(len(h), d + len(w))
             same = h[lo:hi] == w[lo - d : hi - d]
-            score = np.where(same, EQUAL, OTHER).cumsum()
-            at = i - lo
-            end = at + int(np.argmax(score[at:]))
-            before = np.concatenate(([0], score))[: at + 1]
-            start = int(np.argmin(before[::-1]))
-            start = at - start
-            n, equal = end - start + 1, int(same[start : end + 1].sum())
-            if equal < min(LEAST_WORDS, len(w)) or equal < LEAST_SHARE * n:
-                if (k, d) not in other:
-                    other[k, d] = qualifying(same)
-                start, end = other[k, d]
-                n, equal = end - start + 1, int(same[start : end + 1].sum())
-            if equal >= min(LEAST_WORDS, len(w)) and equal >= LEAST_SHARE * n and equal > best.get(k, (0,))[0]:
-                best[k] = (equal, n, lo + start)
+            least = max(min(LEAST_WORDS, len(w)), best.get(k, (0,))[0] + 1)
+            if int(same.sum()) < least:
+                continue
+            start, end = qualifying(same)
+            equal = int(same[start : end + 1].sum())
+            if equal >= least and equal >= LEAST_SHARE * (end - start + 1):
+                best[k] = (equal, end - start + 1, lo + start)
         return best
 
 
@@ -168,8 +158,7 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     blocks = int(words // BLOCK_WORDS) + 1
     out = []
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").toPandas()
-        table = pa.table({"i": pa.array([None if x != x or x is None else int(x) for x in part["i"]], pa.int64()), "t": pa.array(part["t"], pa.string())})
+        table = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").toArrow()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)

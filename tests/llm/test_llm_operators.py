@@ -309,6 +309,44 @@ def test_decontamination_substitutions(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.contamination(d, b).collect()) == want
 
 
+def brute_overlaps(text, item):
+    """Most equal words of a stretch with the share, over all diagonals; the whole of a short item."""
+    a, b = ([w.lower() for w in words(x)] for x in (text, item))
+    best = 0
+    for d in range(-len(b) + 1, len(a)):
+        same = [a[i] == b[i - d] for i in range(max(0, d), min(len(a), d + len(b)))]
+        if len(b) < decontamination.SPAN:
+            best = max(best, len(b) if len(same) == len(b) and all(same) else 0)
+            continue
+        for i in range(len(same)):
+            n = 0
+            for j in range(i, len(same)):
+                n += same[j]
+                if n >= min(decontamination.LEAST_WORDS, len(b)) and n >= decontamination.LEAST_SHARE * (j - i + 1):
+                    best = max(best, n)
+    return best
+
+
+def test_decontamination_against_all_stretches(spark):
+    """Short items, ties, repeated words and items that share most of their words."""
+    rng = random.Random(14)
+    w = lambda n: " ".join(rng.choice("abcdefghijklmnopqrst") + rng.choice("uvwxyz") for _ in range(n))
+    shared = w(12)
+    items = [(9007199254740993, "what is nine squared"), (None, "null id " + w(20)), (1, "Single"), (2, "x y"), (3, "a a a a a a a a a a a a a a a")]
+    items += [(10 + k, w(rng.choice([5, 11, 12, 13, 20, 40]))) for k in range(12)] + [(100 + k, shared + " " + w(8)) for k in range(8)]
+    texts = [(1, "What is nine squared"), (2, "so, what is nine squared today"), (3, "single"), (4, "y x y"), (5, None), (6, ""), (7, "a " * 30), (8, shared + " " + w(30))]
+    for k in range(40):
+        ws = words(rng.choice(items)[1])
+        for i in range(len(ws)):
+            if rng.random() < 0.12:
+                ws[i] = "other"
+        texts.append((100 + k, w(rng.randint(0, 10)) + " " + " ".join(ws[rng.choice([0, 0, 3]) :]) + " " + w(5)))
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, k): n for i, t in texts for k, x in items if (n := brute_overlaps(t or "", x))}
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontamination.contamination(d, b).collect()}
+    assert (1, 9007199254740993) in got and (3, 1) in got and got == want
+
+
 def changed(rng, n, places):
     """An index of one item of n words, and a document of it with other words at the places."""
     h = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
@@ -328,7 +366,7 @@ def test_more_equal_words_never_remove_a_match():
         want = max((int(same[a:b].sum()) for a in range(n) for b in range(a + 1, n + 1) if same[a:b].sum() >= decontamination.LEAST_SHARE * (b - a)), default=0)
         a, b = decontamination.qualifying(same)
         assert int(same[a : b + 1].sum()) == want and want >= decontamination.LEAST_SHARE * (b - a + 1)
-        if want >= 13 and index.hits(doc):
+        if want >= 13 and len(index.hits(doc)):
             assert 0 in index.matches(doc)
 
 
