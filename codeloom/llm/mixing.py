@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of each source are packed one after another into blocks of a fixed length. Each source
-owes the mix a whole number of block slots; each slot draws its output shard at random, so the
-counts of a source over the shards are multinomial with a fixed sum. Slots are then numbered per
-source shard by shard, mapped through a pseudorandom permutation of the source's block indices
-(a new one for each pass over the source), and joined to the blocks by index.
+owes the mix a whole number of block slots; the slots of all sources are dealt over output shards of
+one size by a pseudorandom permutation, so that a shard's counts of the sources are a multinomial
+draw with the sources' sums given. A source's slots are mapped through a pseudorandom permutation of
+its block indices (a new one for each pass over the source), and joined to the blocks by index.
 
 A block is taken at most ceil(slots / blocks) times, so no document is taken more often than
 its source's target allows. Draws and permutations are hashes of a seed: reruns agree.
@@ -20,17 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, partitions, stored
+from .common import SPACE, WORD, ordered_parts, partitions, stored, unused
 
 #: The weights of the sources in order, repeating; the share of all words that the
 #: mix takes; how often a source may be repeated.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: Words in a block, and slots in an output shard on average.
+#: Words in a block, and slots in an output shard.
 BLOCK, SHARD_SLOTS = 128, 4096
 #: Rounds of the permutation.
 ROUNDS = 24
-#: Documents in one bucket of the two-level prefix sum.
-BUCKET = 200
 
 
 def word_count(text: Column) -> Column:
@@ -71,49 +69,53 @@ def permuted(index: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Co
 
 
 def placed(docs: DataFrame, block: int = BLOCK, **shares) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in their source, and the table of sources.
+    """Documents with their place in their source, and the table of sources; both stored.
 
-    Places come from two levels of prefix sums: within small hash buckets, and over the buckets'
-    totals. So no source, however large, is ordered in one task.
+    All documents are ordered by source and a hash, in parts of even size; places are the running
+    words of a part and the words of the parts before it, less those of the sources before. No
+    source, however large, is ordered or summed in one task.
     """
-    spark = docs.sparkSession
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0).cast("long")
-    sources = stored(sources.select("*", blocks.alias("blocks"), slots.alias("slots")), "mix-sources")
-    buckets = max(1, sized.count() // BUCKET)
-    rows = sized.join(sources.select(F.col("source").alias("s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)))
-    inside = W.partitionBy("sid", "bucket").orderBy("doc_id", "h")
-    rows = rows.select("*", F.row_number().over(inside).alias("nth"), F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("local"))
-    totals = sized_totals(sized, sources, buckets)
-    rows = rows.join(totals, ["sid", "bucket"]).withColumn("start", F.col("local") + F.col("base")).drop("local", "base")
+    earlier = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
+    sources = sources.select("*", blocks.alias("blocks"), slots.alias("slots"))
+    sources = stored(sources.select("*", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in ("source_size", "slots")]), "mix-sources")
+    rows = sized.join(sources.select(F.col("source").alias("s"), "sid", "source_size", "target", "source_size_before"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = ordered_parts(rows, ["sid", F.xxhash64("doc_id", "h"), "doc_id", "h"], "mix-order")
+    before = W.partitionBy("part").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("part").agg(F.sum("size").alias("n"))
+    totals = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rows = rows.withColumn("local", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(totals), "part")
+    start = F.col("local") + F.col("base") - F.col("source_size_before")
+    rows = rows.select("g", "doc_id", "h", "source", "size", "sid", "source_size", "target", start.alias("start"))
     return rows, sources
 
 
-def sized_totals(sized: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
-    """Words before each (source, bucket) in its source."""
-    t = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets))).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    t = t.join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s")))
-    before = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    return t.select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+def drawn_slots(sources: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Slots of the output: shard, sid, pass (0 for the first time over a source), block.
+
+    A source's slots are its numbers from 0; all slots together are dealt over shards of one size by
+    a permutation of their numbers. So the counts of the sources in a shard are a multinomial draw
+    under the condition that each source gets its slots and each shard is full.
+    """
+    each = F.lit(4096).cast("long")
+    every = sources.agg(F.sum("slots")).first()[0] or 0
+    s = sources.where("slots > 0").select("sid", "slots", "blocks", F.col("slots_before").alias("before"))
 
+    def split(t: DataFrame, left: Column, name: str) -> DataFrame:
+        return t.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(each, left) - 1)).alias(name))
 
-def drawn_slots(sources: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Slots of the output: shard, sid, pass (0 for the first time over a source), block."""
-    spark = sources.sparkSession
-    each = 8192
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(W.partitionBy()) / shard_slots)).cast("long")
-    s = sources.where("slots > 0").select("sid", "slots", "blocks", shards.alias("shards"))
-    parts = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / each).cast("long"))).alias("part")).repartition(partitions(spark), "sid", "part")
-    draws = parts.select("sid", "blocks", "shards", F.explode(F.sequence(F.col("part") * each, F.least(F.col("slots"), (F.col("part") + 1) * each) - 1)).alias("i"))
-    counts = draws.groupBy("sid", "blocks", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "i"), F.col("shards")).alias("shard")).count()
-    before = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).repartition(partitions(spark), "sid", "shard")
-    j = counts.select("shard", "sid", "blocks", F.explode(F.sequence("base", F.col("base") + F.col("count") - 1)).alias("slot"))
-    j = j.withColumn("pass", (F.col("slot") / F.col("blocks")).cast("long"))
-    return j.select("shard", "sid", "pass", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass")).alias("block"))
+    # in three steps, so that no list of a source's slots is ever built
+    t = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / (each * each)) - 1)).alias("x"))
+    t = split(t, F.ceil((F.col("slots") - F.col("x") * each * each) / each), "y").withColumn("y", F.col("x") * each + F.col("y"))
+    t = t.repartition(partitions(sources.sparkSession), "sid", "y")
+    t = split(t, F.col("slots") - F.col("y") * each, "z").withColumn("slot", F.col("y") * each + F.col("z"))
+    turn = (F.col("slot") / F.col("blocks")).cast("long")
+    shard = (permuted(F.col("before") + F.col("slot"), F.lit(every), F.lit(seed), F.lit("shard")) / shard_slots).cast("long")
+    t = t.select("sid", "blocks", "slot", turn.alias("pass"), shard.alias("shard"))
+    return t.select("shard", "sid", "pass", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass")).alias("block"))
 
 
 def blocks_of(rows: DataFrame, block: int) -> DataFrame:
@@ -128,10 +130,9 @@ def mixed_counts(docs: DataFrame, block: int = BLOCK, seed: int = 0, **shares) -
     """Per document: doc_id, size, source_size, target, taken (words of it in the mix), source."""
     rows, sources = placed(docs, block, **shares)
     times = drawn_slots(sources, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = blocks_of(rows, block).join(times, ["sid", "block"], "left")
+    got = blocks_of(rows, block).join(times.hint("merge"), ["sid", "block"], "left")
     words = F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0))
-    # the places identify the row: the sum runs over its blocks only
-    out = got.groupBy("doc_id", "h", "sid", "bucket", "nth", "size", "source_size", "target", "source").agg(F.sum(words).alias("taken"))
+    out = got.groupBy("g", "doc_id", "size", "source_size", "target", "source").agg(F.sum(words).alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -144,21 +145,22 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0, **shares
     Rows that repeat both id and text share one text.
     """
     rows, sources = placed(docs, block, **shares)
-    taken = blocks_of(rows.where("size > 0"), block).join(drawn_slots(sources, seed).select("sid", "block", "pass"), ["sid", "block"])
-    spans = taken.groupBy("doc_id", "h", "sid", "bucket", "nth", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-
-    def joined(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["lo"].alias("lo"), x["hi"].alias("hi"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["hi"] == x["lo"]), grown).otherwise(F.concat(acc, F.array(x)))
-
-    runs = F.aggregate("spans", F.slice("spans", 1, 0), joined)
-    runs = spans.select("doc_id", "h", F.col("size").alias("_size"), F.explode(runs).alias("_run"))
-    texts = docs.withColumn("_h", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long")).dropDuplicates(["_id", "_h"])
-    both = texts.join(runs, F.col("_id").eqNullSafe(runs.doc_id) & (F.col("_h") == runs.h)).drop(runs.doc_id, runs.h)
-    pieces = F.regexp_extract_all("text", F.lit(f"(?:^{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
-    part = F.array_join(F.slice(pieces, (F.col("_run.lo") + 1).cast("int"), (F.col("_run.hi") - F.col("_run.lo")).cast("int")), "")
-    whole = (F.col("_run.lo") == 0) & (F.col("_run.hi") == F.col("_size"))
+    taken = blocks_of(rows.where("size > 0"), block).join(drawn_slots(sources, seed).select("sid", "block", "pass").hint("merge"), ["sid", "block"])
+    spans = taken.groupBy("g", "doc_id", "h", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    # a run begins where the block before it was not taken, and reaches to the end of its last one
+    begins = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda i: (i == 0) | (F.get("spans", i)["lo"] != F.get("spans", i - 1)["hi"]))
+    runs = spans.withColumn("begins", begins)
+    runs = runs.withColumn("runs", F.transform("begins", lambda i, k: F.struct(F.get("spans", i)["lo"].alias("lo"), F.get("spans", F.coalesce(F.get("begins", k + 1), F.size("spans")) - 1)["hi"].alias("hi"))))
+
+    no_id, id_, h, size, run = names = unused(docs, "_no_id", "_id", "_h", "_size", "_run")
+    keyed = lambda t, x: t.select("*", F.col("doc_id").isNull().alias(no_id), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(id_), x.alias(h))
+    runs = keyed(runs.select("doc_id", F.col("h").alias("text"), F.col("size").alias(size), F.explode("runs").alias(run)), F.col("text")).select(names)
+    # reduced and joined on the same columns: one exchange of the texts
+    texts = keyed(docs, F.xxhash64("text")).dropDuplicates(names[:3])
+    both = texts.join(runs.hint("merge"), names[:3])
+    words = F.regexp_extract_all("text", F.lit(f"(?:^{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
+    part = F.array_join(F.slice(words, (F.col(f"{run}.lo") + 1).cast("int"), (F.col(f"{run}.hi") - F.col(f"{run}.lo")).cast("int")), "")
+    whole = (F.col(f"{run}.lo") == 0) & (F.col(f"{run}.hi") == F.col(size))
     both = both.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

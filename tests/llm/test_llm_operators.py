@@ -182,6 +182,27 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_shard_counts(spark):
+    """Every shard but the last is full, each source gets its slots, and counts vary as a draw does."""
+    sources = spark.createDataFrame([(1, 30000, 20000, 0), (2, 12000, 7000, 30000), (3, 5, 4, 42000), (4, 0, 0, 42005)], "sid long, slots long, blocks long, slots_before long")
+    got = [(r.shard, r.sid, r["pass"], r.block) for r in mixing.drawn_slots(sources, shard_slots=500).collect()]
+    shards, by_source = Counter(x[0] for x in got), Counter(x[1] for x in got)
+    assert sorted(shards) == list(range(85)) and all(shards[k] == 500 for k in range(84)) and shards[84] == 5
+    assert by_source == {1: 30000, 2: 12000, 3: 5}
+    assert len({x[1:] for x in got}) == len(got)
+    n = [sum(1 for x in got if x[0] == k and x[1] == 1) for k in range(84)]
+    p = 30000 / 42005
+    assert 0.6 < np.var(n) / (500 * p * (1 - p)) < 1.6 and abs(np.mean(n) - 500 * p) < 4
+
+
+def test_mixed_documents_with_clashing_names(spark):
+    df = spark.createDataFrame([(k, f"some words of text {k} " * 40, "s", 7, "a", 8, 9) for k in range(8)], "doc_id int, text string, source string, _h long, _id string, _size long, _run long")
+    mixed = mixing.mixed_documents(df, block=16)
+    assert mixed.schema == df.schema
+    got = mixed.collect()
+    assert got and all((r["_h"], r["_id"], r["_size"], r["_run"]) == (7, "a", 8, 9) for r in got)
+
+
 def brute_quality(text):
     ws = words(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
