@@ -14,6 +14,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -29,13 +31,15 @@ def neighbors(edges: DataFrame, symbols: DataFrame, start: DataFrame, kinds: tup
     return symbols.join(ids, "id", "left_semi")
 
 
-def closure(links: DataFrame, start: DataFrame, include_start: bool = False, most_rounds: int = 10_000) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame, include_start: bool = False) -> DataFrame:
     """(node, depth): everything that ``links`` (a, b) reaches from ``start`` (node), each once, at
     its smallest depth. A start that is reached again is not listed unless ``include_start``."""
     links = kept(links.where("a is not null and b is not null").select("a", "b").distinct(), "links")
     seen = kept(start.select("node").distinct().select("node", F.lit(0).alias("depth")), "seen")
     frontier = seen
-    for depth in range(1, most_rounds + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = frontier.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = kept(step.select("node", F.lit(depth).alias("depth")), "frontier")
         if frontier.isEmpty():
@@ -81,3 +85,16 @@ def topological_levels(deps: DataFrame, files: DataFrame) -> DataFrame:
         level += 1
     rest = left.select("file", F.lit(-1).alias("level"))
     return rest if done is None else done.union(rest)
+
+
+def invalidation_order(deps: DataFrame, start: DataFrame) -> DataFrame:
+    """(file, level) of the files that ``dependents`` gives, by level among themselves: every file
+    after those of them that it needs."""
+    files = kept(dependents(deps, start).select(F.col("node").alias("file")), "affected")
+    return topological_levels(deps, files)
+
+
+def adjacency(deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, files) forward and backward, stored, for many lookups; made again when files change."""
+    side = lambda a, b: kept(deps.select(F.col(a).alias("file"), F.col(b).alias("to")).distinct().groupBy("file").agg(F.array_sort(F.collect_list("to")).alias("files")), "adjacency")
+    return side("from_file", "to_file"), side("to_file", "from_file")

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 
-def narrowest(probes: DataFrame, spans: DataFrame, probe_key: str = "probe_id") -> DataFrame:
+def narrowest(probes: DataFrame, spans: DataFrame, probe_key: str = "probe_id", cell: int = 1024) -> DataFrame:
     """For each probe (probe_id, file, offset) the narrowest span that covers it, first by start and id.
 
-    The file is the join key; covering is a condition on its rows. The choice is an aggregate, so
-    no probe's candidates are sorted in one task.
+    Offsets are cut into cells; a span is joined in each cell it reaches, so that a file with very
+    many symbols is many keys. Spans far longer than a cell are joined in larger cells. The choice
+    is an aggregate, so no probe's candidates are sorted in one task.
     """
-    s = spans.select(F.col("file").alias("_file"), F.col("start_pos").alias("_start"), F.col("end_pos").alias("_end"), F.col("id").alias("_id"))
-    hit = probes.join(s, (probes.file == s._file) & (s._start <= probes["offset"]) & (probes["offset"] < s._end))
+    s = spans.select(F.col("file").alias("_file"), F.col("start_pos").alias("_start"), F.col("end_pos").alias("_end"), F.col("id").alias("_id")).where("_end > _start")
+    # sizes of cells grow by 64, so that a span reaches at most 65 of them
+    sizes = [cell * 64**k for k in range(6)]
+    size = F.lit(sizes[-1])
+    for x in sizes[-2::-1]:
+        size = F.when(F.col("_end") - F.col("_start") <= 64 * x, F.lit(x)).otherwise(size)
+    s = s.withColumn("_size", size.cast("long"))
+    s = s.select("*", F.explode(F.sequence(F.floor(F.col("_start") / F.col("_size")), F.floor((F.col("_end") - 1) / F.col("_size")))).alias("_cell"))
+    used = [r[0] for r in s.select("_size").distinct().collect()]
+    p = probes.select(probe_key, F.col("file").alias("_in"), F.col("offset").alias("_at"), F.explode(F.array(*map(F.lit, used)).cast("array<bigint>")).alias("_of"))
+    p = p.withColumn("_place", F.floor(F.col("_at") / F.col("_of")))
+    hit = p.join(s, (p._in == s._file) & (p._of == s._size) & (p._place == s._cell)).where("_start <= _at and _at < _end")
     return hit.groupBy(probe_key).agg(F.min(F.struct((F.col("_end") - F.col("_start")).alias("width"), F.col("_start").alias("start"), F.col("_id").alias("id"))).alias("b")).select(probe_key, "b.id", "b.width")
 
 
@@ -50,22 +65,37 @@ def resolved(rows: DataFrame, row_key: str, candidates: Column, table: DataFrame
 def implementations(edges: DataFrame, symbols: DataFrame, target: DataFrame, deps: DataFrame) -> DataFrame:
     """Symbols that lead to the targets by an edge; for targets without any, symbols of the same
     name in dependent files or their own; for those still without, of the same name anywhere.
-    ``target`` has id, name, file. The result has target_id, id and the tier."""
+    ``target`` has id, name, file. The result has target_id, id and the tier.
+
+    A tier is joined only for the targets that the tiers before it left.
+    """
     t = target.select(F.col("id").alias("target_id"), F.col("name").alias("_name"), F.col("file").alias("_file"))
-    one = t.join(edges, F.col("target_id") == F.col("dst")).select("target_id", F.col("src").alias("id"), F.lit(1).alias("tier")).join(symbols.select("id"), "id", "left_semi")
-    same = t.join(symbols.select("id", "name", "file"), F.col("_name") == F.col("name")).where("id <> target_id")
-    near = deps.select(F.col("to_file").alias("_file"), F.col("from_file").alias("file"))
-    near = near.union(t.select("_file", F.col("_file").alias("file"))).distinct()
-    two = same.join(near, ["_file", "file"], "left_semi").select("target_id", "id", F.lit(2).alias("tier"))
-    three = same.select("target_id", "id", F.lit(3).alias("tier"))
-    every = one.select("target_id", "id", "tier").union(two).union(three)
-    best = every.groupBy("target_id").agg(F.min("tier").alias("tier"))
-    return every.join(best, ["target_id", "tier"], "left_semi").where("id <> target_id").distinct().select("target_id", "id", "tier")
+    own = symbols.select("id", "name", "file")
+    one = kept(t.join(edges, F.col("target_id") == F.col("dst")).select("target_id", F.col("src").alias("id")).where("id <> target_id").distinct().join(symbols.select("id"), "id", "left_semi"), "tier")
+    left = kept(t.join(one, "target_id", "left_anti"), "left")
+    near = left.join(deps.select(F.col("to_file").alias("_file"), F.col("from_file").alias("file")).distinct(), "_file").select("target_id", "_name", "file")
+    near = near.union(left.select("target_id", "_name", F.col("_file").alias("file"))).distinct()
+    two = kept(near.join(own, (F.col("_name") == own["name"]) & (near["file"] == own["file"])).where("id <> target_id").select("target_id", "id").distinct(), "tier")
+    left = left.join(two, "target_id", "left_anti")
+    three = left.join(own, F.col("_name") == F.col("name")).where("id <> target_id").select("target_id", "id").distinct()
+    tier = lambda rows, n: rows.select("target_id", "id", F.lit(n).alias("tier"))
+    return tier(one, 1).union(tier(two, 2)).union(tier(three, 3))
+
+
+def implementations_or_namesakes(edges: DataFrame, symbols: DataFrame, target: DataFrame) -> DataFrame:
+    """(target_id, id, tier): sources of edges to each target; for targets without any, all symbols
+    of its name, itself included, if there are two or more."""
+    t = target.select(F.col("id").alias("target_id"), F.col("name").alias("_name"))
+    one = t.join(edges, F.col("target_id") == F.col("dst")).select("target_id", F.col("src").alias("id")).distinct().join(symbols.select("id"), "id", "left_semi")
+    several = symbols.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("n")).where("n > 1").select("_name")
+    left = t.join(one, "target_id", "left_anti").join(several, "_name", "left_semi")
+    two = left.join(symbols.select("id", "name"), F.col("_name") == F.col("name")).select("target_id", "id")
+    return one.select("target_id", "id", F.lit(1).alias("tier")).union(two.select("target_id", "id", F.lit(2).alias("tier")))
 
 
 def name_positions(sources: DataFrame, name: str, key: str = "file", content: str = "content") -> DataFrame:
     """Places of a word in texts, with ASCII word boundaries: (file, start_pos) in characters."""
-    parts = F.split(content, "(?<![A-Za-z0-9_])" + name + "(?![A-Za-z0-9_])", -1)
+    parts = F.split(content, "(?<![A-Za-z0-9_])" + re.escape(name) + "(?![A-Za-z0-9_])", -1)
     t = sources.where(F.col(content).contains(name)).select(key, F.posexplode(parts).alias("i", "part"))
     before = F.sum(F.length("part") + len(name)).over(W.partitionBy(key).orderBy("i"))
     t = t.withColumn("start_pos", (before - len(name)).cast("long"))

@@ -1,4 +1,4 @@
-"""Keeping the index tables in step with files: replace, remove, prune, resolve again, streams."""
+"""Keeping the index tables in step with files: replace, remove, prune, resolve again."""
 
 from __future__ import annotations
 
@@ -35,33 +35,28 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max(F.struct("seq", "op")).alias("c")).select("path", "c.op", "c.seq")
 
 
-def apply_changes(spark: SparkSession, base: str, changes: DataFrame, extract) -> DataFrame:
-    """One batch of a change feed on the symbol table under ``base``: deleted and changed files
-    lose their rows, changed ones get those of ``extract(paths)``. The new state is written beside
-    the old one and named in a pointer file last, so readers never see half of it."""
-    last = latest_changes(changes)
-    state = spark.read.parquet(current(spark, base))
-    keep = state.join(last.select(F.col("path").alias("file")), "file", "left_anti")
-    new = extract(last.where("op <> 'delete'").select("path"))
-    target = f"{base}/state-{changes.agg(F.coalesce(F.max('seq'), F.lit(0))).first()[0]}"
-    keep.unionByName(new).write.mode("overwrite").parquet(target)
-    point_to(spark, base, target)
-    return spark.read.parquet(target)
+def meta_set(meta: DataFrame, key: str, value: str) -> DataFrame:
+    """The table of (key, value) with one value set."""
+    row = meta.sparkSession.createDataFrame([(key, value)], "key string, value string")
+    return meta.where(F.col("key") != key).unionByName(row)
 
 
-def point_to(spark: SparkSession, base: str, target: str) -> None:
-    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(f"{base}/current")
+def meta_get(meta: DataFrame, key: str) -> DataFrame:
+    return meta.where(F.col("key") == key).select("value")
 
 
-def current(spark: SparkSession, base: str) -> str:
-    return spark.read.text(f"{base}/current").first()[0]
+def meta_delete(meta: DataFrame, key: str) -> DataFrame:
+    return meta.where(F.col("key") != key)
 
 
-def watch(spark: SparkSession, changes_dir: str, base: str, extract, checkpoint: str, once: bool = False):
-    """A stream over a folder of change records (JSON lines) that keeps the table under ``base`` fresh."""
-    feed = spark.readStream.schema("path string, op string, seq long").json(changes_dir)
-    writer = feed.writeStream.foreachBatch(lambda df, _: apply_changes(spark, base, df, extract) and None).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+def ready(meta: DataFrame) -> bool:
+    """Whether the first indexing is complete, by its mark in the meta table."""
+    return not meta_get(meta, "initial_index_complete").where("value = 'true'").isEmpty()
+
+
+def analyzed(spark: SparkSession, name: str) -> None:
+    """Statistics of a catalogue table and its columns, for the optimizer."""
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
 def schema_state(found: str | None, current_version: str) -> str:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 
 def file_stats(symbols: DataFrame) -> DataFrame:
     n = lambda k: F.count_if(F.col("kind") == k)
@@ -35,22 +37,28 @@ def key_types(symbols: DataFrame, per_file: int = 5, methods: int = 3) -> DataFr
     return t.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(F.desc("methods"), "name"))).where(F.col("rank") <= per_file)
 
 
-def outline(symbols: DataFrame, most_depth: int = 16) -> DataFrame:
+def outline(symbols: DataFrame) -> DataFrame:
     """(file, id, depth, path): each symbol under the first symbol of its file whose name is its
-    container; symbols without one are roots. ``path`` sorts parents before children."""
+    container; symbols without one are roots. ``path`` sorts parents before children, children by
+    place. Symbols whose containers form a cycle, and those below them, are roots too.
+
+    One round a level; each level is stored, so none is computed again.
+    """
     s = symbols.select("file", "id", "name", "container", "start_pos")
     parent = s.groupBy("file", F.col("name").alias("container")).agg(F.min(F.struct("start_pos", "id"))["id"].alias("parent"))
     s = s.join(parent, ["file", "container"], "left").withColumn("parent", F.when(F.col("parent") != F.col("id"), F.col("parent")))
     mark = F.concat(F.lpad(F.col("start_pos").cast("string"), 12, "0"), F.lit("|"), "id")
-    level = s.where("parent is null").select("file", "id", F.lit(0).alias("depth"), mark.alias("path"))
-    out, rest = level, s.where("parent is not null").select("file", "id", "parent", mark.alias("mark"))
-    for depth in range(1, most_depth + 1):
+    s = kept(s.select("file", "id", "parent", mark.alias("mark")), "outline")
+    root = lambda t: t.select("file", "id", F.lit(0).alias("depth"), F.col("mark").alias("path"))
+    level, depth = kept(root(s.where("parent is null")), "level"), 0
+    out, rest = level, s.where("parent is not null")
+    while True:
+        depth += 1
         up = level.select("file", F.col("id").alias("parent"), F.col("path").alias("up"))
-        level = rest.join(up, ["file", "parent"]).select("file", "id", F.lit(depth).alias("depth"), F.concat("up", F.lit("/"), "mark").alias("path"))
+        level = kept(rest.join(up, ["file", "parent"]).select("file", "id", F.lit(depth).alias("depth"), F.concat("up", F.lit("/"), "mark").alias("path")), "level")
         if level.isEmpty():
-            break
+            return out.union(root(s.join(out.select("file", "id"), ["file", "id"], "left_anti")))
         out = out.union(level)
-    return out
 
 
 def sample_stats(value: str | Column, prefix: str = "", digits: int | None = 2) -> list[Column]:
@@ -96,6 +104,54 @@ def stars_by_p(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
+#: Coefficients of Lanczos' series for the logarithm of the gamma function (g = 7).
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """For x of at least one half."""
+    total = F.lit(_LANCZOS[0])
+    for k, c in enumerate(_LANCZOS[1:]):
+        total = total + F.lit(c) / (x + k)
+    t = x + 6.5
+    return 0.5 * math.log(2 * math.pi) + (x - 0.5) * F.log(t) - t + F.log(total)
+
+
+def _beta_fraction(x: Column, a: Column, b: Column, steps: int = 300) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    away = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    d0 = 1 / away(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("f"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        half = lambda s, n: F.struct(away(1 + n / s["c"]).alias("c"), (1 / away(1 + n * s["d"])).alias("d"), s["f"].alias("f"))
+        grown = lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (s["f"] * s["c"] * s["d"]).alias("f"))
+        # both halves of a step as folds, so that no half is written out twice
+        return F.aggregate(F.array(even, odd), s, lambda acc, n: F.aggregate(F.array(half(acc, n)), acc, lambda _, h: grown(h)))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda m: m.cast("double")), start, step)["f"]
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function, for a and b of at least one half."""
+    front = lambda x, a, b: F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x)) / a
+    near = front(x, a, b) * _beta_fraction(x, a, b)
+    far = 1 - front(1 - x, b, a) * _beta_fraction(1 - x, b, a)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(x < (a + 1) / (a + b + 2), near).otherwise(far)
+
+
+def p_of_t(t: Column, df: Column) -> Column:
+    """The two-sided p-value of Student's t; df of at least 1."""
+    return incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5))
+
+
+def total_tokens(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column, cached: bool = True) -> Column:
+    return tokens_in + tokens_out + (cache_read + cache_write if cached else F.lit(0))
+
+
 def change(base: Column, new: Column) -> list[Column]:
     return [(new - base).alias("delta"), F.when(base == 0, F.lit(0.0)).otherwise((new - base) / base * 100).alias("pct")]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,19 +11,12 @@ from ..operators import graph, joins, maintenance, stats
 from ..operators import symbols as S
 from ..sources import files
 from ..telemetry import calls as C
-from .views import Views, with_views
+from .registry import ORACLES, QUERIES, add
+from .views import Views
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 SYMBOL = "id, file, kind, name, start_pos, end_pos, qualifier, visibility, container, is_test"
 
 
-def add(name: str, query: Callable[[Views], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: query(Views(spark, sf_dir))
-    if sql:
-        ORACLES[name] = with_views(sql)
-
-
 def _symbols(df: DataFrame) -> DataFrame:
     return df.select(*SYMBOL.split(", "))
 
@@ -105,11 +96,32 @@ _closure("g3_subtypes", ("implements", "extends", "trait_impl"), True, "namespac
 add("g4_callers", lambda v: graph.neighbors(v.edges, v.symbols, v.symbols.where(F.col("id") == _START).select("id"), ("calls",), True).select("id"), f"SELECT DISTINCT e.src AS id FROM v_edges e JOIN v_symbols s ON s.id = e.src WHERE e.kind = 'calls' AND e.dst = '{_START}'")
 _closure("g5_callers_all", ("calls",), True, _START)
 _closure("g6_callees_all", ("calls",), False, _START)
-_LEVELS = "SELECT file, CAST(CASE split_part(file, '/', 1) WHEN 'region' THEN 0 WHEN 'nation' THEN 1 WHEN 'part' THEN 3 ELSE 2 END AS INTEGER) AS level FROM (SELECT from_file AS file FROM v_deps UNION SELECT to_file FROM v_deps)"
-add("g7_invalidation", lambda v: graph.dependents(v.deps, v.spark.createDataFrame([("nation/3",)], "node string")).select(F.col("node").alias("file")), "RECURSIVE WITH r(file) AS (SELECT 'nation/3' UNION SELECT d.from_file FROM r JOIN v_deps d ON d.to_file = r.file) SELECT file FROM r")
+
+
+def _levels(files: str, links: str, deepest: int = 12) -> str:
+    """Levels by longest paths; a path longer than ``deepest`` runs in a cycle or behind one."""
+    return f"""e AS (SELECT DISTINCT from_file, to_file FROM {links} WHERE from_file <> to_file AND from_file IN (SELECT file FROM {files}) AND to_file IN (SELECT file FROM {files})),
+  l(file, level) AS (SELECT file, 0 FROM {files} UNION SELECT e.from_file, l.level + 1 FROM l JOIN e ON e.to_file = l.file WHERE l.level < {deepest})
+  SELECT file, CAST(CASE WHEN max(level) >= {deepest} THEN -1 ELSE max(level) END AS INTEGER) AS level FROM l GROUP BY 1"""
+
+
+add("g7_invalidation", lambda v: graph.invalidation_order(v.deps, v.spark.createDataFrame([("nation/3",)], "node string")), f"RECURSIVE WITH r(file) AS (SELECT 'nation/3' UNION SELECT d.from_file FROM r JOIN v_deps d ON d.to_file = r.file), {_levels('r', 'v_deps')}")
 add("g8_forward", lambda v: graph.dependencies(v.deps, v.spark.createDataFrame([("part/5",)], "node string")).select(F.col("node").alias("file")), "RECURSIVE WITH r(file) AS (SELECT to_file FROM v_deps WHERE from_file = 'part/5' UNION SELECT d.to_file FROM r JOIN v_deps d ON d.from_file = r.file) SELECT file FROM r")
-add("g9_batch", lambda v: graph.dependents(v.deps, v.deps.where("to_file in ('region/1', 'region/2')").select(F.col("from_file").alias("node"))).select(F.col("node").alias("file")), "RECURSIVE WITH r(file) AS (SELECT from_file FROM v_deps WHERE to_file IN ('region/1', 'region/2') UNION SELECT d.from_file FROM r JOIN v_deps d ON d.to_file = r.file) SELECT file FROM r")
-add("g10_topo_levels", lambda v: graph.topological_levels(v.deps, v.deps.select(F.col("from_file").alias("file")).union(v.deps.select("to_file"))), "SELECT file, CAST(CASE WHEN file LIKE 'region/%' THEN 0 WHEN file LIKE 'nation/%' THEN 1 WHEN file LIKE 'part/%' THEN 3 ELSE 2 END AS INTEGER) AS level FROM (SELECT from_file AS file FROM v_deps UNION SELECT to_file FROM v_deps)")
+add("g9_batch", lambda v: graph.invalidation_order(v.deps, v.deps.where("to_file in ('region/1', 'region/2')").select(F.col("from_file").alias("node"))), f"RECURSIVE WITH r(file) AS (SELECT from_file FROM v_deps WHERE to_file IN ('region/1', 'region/2') UNION SELECT d.from_file FROM r JOIN v_deps d ON d.to_file = r.file), {_levels('r', 'v_deps')}")
+_CYCLE = "SELECT 'nation/' || CAST(n_nationkey AS VARCHAR(20)) AS from_file, 'nation/' || CAST((n_nationkey + 1) % 3 AS VARCHAR(20)) AS to_file FROM {nation} WHERE n_nationkey < 3"
+
+
+def _with_cycle(v: Views) -> DataFrame:
+    return v.deps.select("from_file", "to_file").union(v.spark.sql(_CYCLE, nation=v.table("nation")))
+
+
+def _nodes(deps: DataFrame) -> DataFrame:
+    return deps.select(F.col("from_file").alias("file")).union(deps.select("to_file"))
+
+
+_FILES = "f AS (SELECT from_file AS file FROM x UNION SELECT to_file FROM x)"
+add("g10_topo_levels", lambda v: graph.topological_levels(v.deps, _nodes(v.deps)), f"RECURSIVE WITH x AS (SELECT from_file, to_file FROM v_deps), {_FILES}, {_levels('f', 'x')}")
+add("g10_topo_levels_cycle", lambda v: graph.topological_levels(_with_cycle(v), _nodes(_with_cycle(v))), f"RECURSIVE WITH x AS (SELECT from_file, to_file FROM v_deps UNION ALL {_CYCLE.format(nation='nation')}), {_FILES}, {_levels('f', 'x')}")
 add("g12_includers", lambda v: v.deps.where("to_file = 'nation/3'").select(F.col("from_file").alias("file")).distinct(), "SELECT DISTINCT from_file AS file FROM v_deps WHERE to_file = 'nation/3'")
 add("g13_outline", lambda v: stats.outline(v.symbols.withColumn("file", F.lit("all"))).select("id", "depth"), "WITH p AS (SELECT name, arg_min(id, start_pos * 1000000 + row_number) AS pid FROM (SELECT *, row_number() OVER (ORDER BY id) AS row_number FROM v_symbols) GROUP BY name), c AS (SELECT s.id, CASE WHEN p.pid <> s.id THEN p.pid END AS parent FROM v_symbols s LEFT JOIN p ON p.name = s.container) SELECT a.id, CAST(CASE WHEN a.parent IS NULL THEN 0 WHEN b.parent IS NULL THEN 1 ELSE 2 END AS INTEGER) AS depth FROM c a LEFT JOIN c b ON b.id = a.parent")
 add("g14_previous_calls", lambda v: v.calls.select("call_id", F.reverse(F.collect_list("tool_name").over(W.partitionBy("session_id").orderBy("ts", "call_id").rowsBetween(-3, -1))).alias("t")).select("call_id", F.array_join("t", ",").alias("previous")), "SELECT call_id, concat_ws(',', lag(tool_name, 1) OVER w, lag(tool_name, 2) OVER w, lag(tool_name, 3) OVER w) AS previous FROM v_calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, call_id)")
@@ -129,7 +141,7 @@ add("a10_usage_summary", lambda v: v.refs.agg(F.count("*").alias("total"), F.cou
 add("a11_first_by_name", lambda v: joins.first_of(v.symbols, ["file", "container"], [F.col("start_pos"), F.col("id")], ["id"]), "SELECT file, container, arg_min(id, lpad(CAST(start_pos AS VARCHAR), 12, '0') || id) AS id FROM v_symbols GROUP BY 1, 2")
 add("a12_tool_distribution", lambda v: C.distribution(v.calls, ["session_id", "tool_name"]), "SELECT session_id, tool_name, count(*) AS calls, CAST(sum(result_tokens) AS BIGINT) AS tokens FROM v_calls GROUP BY 1, 2")
 add("a13_all_sessions", lambda v: C.distribution(v.calls, ["tool_name"]), "SELECT tool_name, count(*) AS calls, CAST(sum(result_tokens) AS BIGINT) AS tokens FROM v_calls GROUP BY 1")
-add("a14_recommendations", lambda v: v.calls.groupBy("tool_name").agg(F.count("*").alias("n"), F.sum("result_tokens").cast("long").alias("saved")).join(F.broadcast(v.spark.createDataFrame([("Grep", 1), ("Read", 2), ("Glob", 3)], "tool_name string, priority int")), "tool_name"), "SELECT tool_name, count(*) AS n, CAST(sum(result_tokens) AS BIGINT) AS saved, CAST(CASE tool_name WHEN 'Grep' THEN 1 WHEN 'Read' THEN 2 ELSE 3 END AS INTEGER) AS priority FROM v_calls WHERE tool_name IN ('Grep', 'Read', 'Glob') GROUP BY 1")
+add("a14_savings_by_tool", lambda v: v.calls.groupBy("tool_name").agg(F.count("*").alias("n"), F.sum("result_tokens").cast("long").alias("saved")).join(F.broadcast(v.spark.createDataFrame([("Grep", 1), ("Read", 2), ("Glob", 3)], "tool_name string, priority int")), "tool_name"), "SELECT tool_name, count(*) AS n, CAST(sum(result_tokens) AS BIGINT) AS saved, CAST(CASE tool_name WHEN 'Grep' THEN 1 WHEN 'Read' THEN 2 ELSE 3 END AS INTEGER) AS priority FROM v_calls WHERE tool_name IN ('Grep', 'Read', 'Glob') GROUP BY 1")
 _STATS = "round(avg({v}), 2) AS mean, round(coalesce(stddev_samp({v}), 0), 2) AS std, round(min({v}), 2) AS min, round(max({v}), 2) AS max"
 add("a15_run_stats", lambda v: v.runs.groupBy("task_id", "condition").agg(*stats.sample_stats("wall_time")), f"SELECT task_id, condition, {_STATS.format(v='wall_time')} FROM v_runs GROUP BY 1, 2")
 
@@ -175,18 +187,44 @@ add("w5_turns", lambda v: C.turns(v.table("conversations"), "conv_id", ["turn"])
 add("w2_context_tokens", lambda v: C.context_tokens(v.calls.withColumn("task", F.lit(100)).withColumn("out", F.lit(5)), "session_id", "call_id", "task", "out", "result_tokens").select("call_id", "context_tokens"), "SELECT call_id, CAST(100 + coalesce(sum(5 + result_tokens) OVER (PARTITION BY session_id ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS context_tokens FROM v_calls")
 
 
-def _after(now: str, before: str, back: int, typical: int) -> str:
-    return f"SELECT call_id, saved, CASE WHEN saved > 500 THEN 0.85 ELSE 0.75 END::DOUBLE AS confidence FROM (SELECT call_id, tool_name, CAST(greatest(0, s + result_tokens - {typical}) AS BIGINT) AS saved FROM (SELECT *, last_value(CASE WHEN tool_name = '{before}' THEN result_tokens END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, call_id ROWS BETWEEN {back} PRECEDING AND 1 PRECEDING) AS s FROM v_calls) WHERE tool_name = '{now}' AND s IS NOT NULL) WHERE saved >= 100"
+#: The patterns of v_calls that look like names in code.
+_NAMES = "('getUserName', 'user_id')"
+
+
+def _after(now: str, before: str, back: int, typical: int, test: str) -> str:
+    return f"""WITH c AS (SELECT *, last_value(CASE WHEN tool_name = '{before}' THEN call_id END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, call_id ROWS BETWEEN {back} PRECEDING AND 1 PRECEDING) AS g FROM v_calls),
+  d AS (SELECT c.call_id, CAST(greatest(0, g.result_tokens + c.result_tokens - {typical}) AS BIGINT) AS saved FROM c JOIN v_calls g ON g.call_id = c.g WHERE c.tool_name = '{now}' AND {test})
+  SELECT call_id, saved, CASE WHEN saved > 500 THEN 0.85 ELSE 0.75 END::DOUBLE AS confidence FROM d WHERE saved >= 100"""
 
 
-add("w3_multi_hop", lambda v: C.multi_hop(v.calls, "session_id", ["ts", "call_id"]).select("call_id", "saved", "confidence"), _after("Read", "Grep", 5, 150))
-add("w4_find_grep", lambda v: C.find_then_grep(v.calls, "session_id", ["ts", "call_id"]).select("call_id", "saved", "confidence"), _after("Grep", "Glob", 3, 300))
-add("r1_grep_rule", lambda v: v.table("part").select("p_partkey", C.grep_rule(F.concat(F.lit("def "), F.lower("p_brand")), F.col("p_size") > 25, F.col("p_retailprice")).alias("r")).select("p_partkey", "r.tool", "r.confidence"), "SELECT p_partkey, 'symbols' AS tool, CASE WHEN p_retailprice > 500 THEN 0.85 ELSE 0.75 END::DOUBLE AS confidence FROM part")
-add("r2_grep_tool", lambda v: v.calls.where("tool_name = 'Grep'").select("call_id", C.grep_tool_rule(F.col("result_tokens")).alias("confidence")), "SELECT call_id, CASE WHEN result_tokens > 500 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM v_calls WHERE tool_name = 'Grep'")
+add("w3_multi_hop", lambda v: C.multi_hop(v.calls, "session_id", ["ts", "call_id"]).select("call_id", "saved", "confidence"), _after("Read", "Grep", 5, 150, f"g.pattern IN {_NAMES} AND contains(g.result, regexp_extract(c.file_path, '[^/]+$'))"))
+add("w4_find_grep", lambda v: C.find_then_grep(v.calls, "session_id", ["ts", "call_id"]).select("call_id", "saved", "confidence"), _after("Grep", "Glob", 3, 300, f"c.pattern IN {_NAMES}"))
+_SEARCHED = "CASE p_partkey % 4 WHEN 0 THEN 'def ' || lower(p_brand) WHEN 1 THEN 'getUserName' WHEN 2 THEN 'two words' ELSE 'user_id' END"
+add(
+    "r1_grep_rule",
+    lambda v: v.table("part").select("p_partkey", C.grep_rule(F.expr(_SEARCHED), F.col("p_size") > 25, F.col("p_retailprice")).alias("r")).select("p_partkey", "r.tool", "r.confidence"),
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'symbols' WHEN 2 THEN NULL ELSE CASE WHEN p_size > 25 THEN 'usages' ELSE 'symbol' END END AS tool,
+  CASE WHEN p_partkey % 4 <> 2 THEN round((CASE WHEN p_partkey % 4 = 0 THEN 0.75 WHEN p_size > 25 THEN 0.85 ELSE 0.70 END + CASE WHEN p_retailprice > 500 THEN 0.1 ELSE 0 END)::DOUBLE, 2) END AS confidence FROM part""",
+)
+add("r2_grep_tool", lambda v: v.calls.where("tool_name = 'Grep'").select("call_id", C.grep_tool_rule(F.col("result_tokens"), F.col("pattern")).alias("confidence")), f"SELECT call_id, CASE WHEN pattern IN {_NAMES} THEN CASE WHEN result_tokens > 500 THEN 0.9 ELSE 0.8 END END::DOUBLE AS confidence FROM v_calls WHERE tool_name = 'Grep'")
 add("r3_read_rule", lambda v: v.calls.where("tool_name = 'Read'").select("call_id", C.read_rule(F.concat(F.lit("a."), F.when(F.col("call_id") % 2 == 0, "py").otherwise("md")), F.col("result_tokens"), F.lit(False)).alias("r")).where("r is not null").select("call_id", "r.saved", "r.confidence"), "SELECT call_id, CAST(greatest(0, result_tokens - (200 + floor(result_tokens * 0.3))) AS BIGINT) AS saved, CASE WHEN result_tokens > 2000 THEN 0.9 WHEN result_tokens > 1000 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM v_calls WHERE tool_name = 'Read' AND call_id % 2 = 0 AND result_tokens >= 500")
-add("r4_find_exec", lambda v: v.calls.select("call_id", C.find_exec_rule(F.col("result_tokens")).alias("r")).where("r is not null").select("call_id", "r.saved", "r.confidence"), "SELECT call_id, CAST(result_tokens - 300 AS BIGINT) AS saved, CASE WHEN result_tokens - 300 > 300 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM v_calls WHERE result_tokens - 300 >= 50")
+add("r4_find_exec", lambda v: v.calls.select("call_id", C.find_exec_rule(F.col("result_tokens"), F.col("pattern")).alias("r")).where("r is not null").select("call_id", "r.saved", "r.confidence"), f"SELECT call_id, CAST(result_tokens - 300 AS BIGINT) AS saved, CASE WHEN result_tokens - 300 > 300 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM v_calls WHERE result_tokens - 300 >= 50 AND pattern IN {_NAMES}")
 add("j16_tool_results", lambda v: v.calls.where("tool_name = 'Grep'").select("session_id", "call_id").join(v.calls.where("tool_name = 'Read'").groupBy("session_id").agg(F.max_by("result_tokens", "call_id").alias("last_read")), "session_id", "left"), "SELECT c.session_id, c.call_id, r.last_read FROM v_calls c LEFT JOIN (SELECT session_id, arg_max(result_tokens, call_id) AS last_read FROM v_calls WHERE tool_name = 'Read' GROUP BY 1) r ON r.session_id = c.session_id WHERE c.tool_name = 'Grep'")
-add("f26_shell_classify", lambda v: C.classified(v.calls.select("call_id", F.concat(F.lit("grep -rn 'x"), "call_id", F.lit("' src/")).alias("command"))).select("call_id", "info.command_type", "info.pattern", "info.target_path", "info.is_recursive"), "SELECT call_id, 'grep' AS command_type, 'x' || CAST(call_id AS VARCHAR) AS pattern, 'src/' AS target_path, true AS is_recursive FROM v_calls")
+
+
+def _commands(v: Views) -> DataFrame:
+    k, lit = F.col("call_id") % 6, F.lit
+    one = F.when(k == 0, F.concat(lit("grep -rn 'x"), "call_id", lit(" y' src/"))).when(k == 1, lit('find lib -name "*.py" -type f')).when(k == 2, lit('find . -name "*.ts" -exec grep -l useState {} \\;'))
+    return v.calls.select("call_id", one.when(k == 3, lit("/usr/bin/cat -n a.txt")).when(k == 4, lit("ls -R src")).otherwise(lit('grep "open a')).alias("command"))
+
+
+add(
+    "f26_shell_classify",
+    lambda v: C.classified(_commands(v)).select("call_id", "info.command_type", "info.pattern", "info.target_path", "info.is_recursive"),
+    """SELECT call_id, CASE call_id % 6 WHEN 0 THEN 'grep' WHEN 1 THEN 'find' WHEN 2 THEN 'find' WHEN 3 THEN 'read' WHEN 4 THEN 'list' ELSE 'grep' END AS command_type,
+  CASE call_id % 6 WHEN 0 THEN 'x' || CAST(call_id AS VARCHAR) || ' y' WHEN 1 THEN '*.py' WHEN 2 THEN 'useState' WHEN 5 THEN '"open' END AS pattern,
+  CASE call_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'lib' WHEN 2 THEN '.' WHEN 3 THEN 'a.txt' WHEN 4 THEN 'src' ELSE 'a' END AS target_path, call_id % 6 IN (0, 1, 2, 4) AS is_recursive FROM v_calls""",
+)
 
 # order, paging, sets
 add("o1_page", lambda v: _symbols(S.search(v.symbols, S.Query(kind="method", limit=25, offset=10))), f"SELECT {SYMBOL} FROM v_symbols WHERE kind = 'method' ORDER BY id LIMIT 25 OFFSET 10")
@@ -227,5 +265,5 @@ add("m5_remove_files", lambda v: maintenance.without_files({"dependencies": v.de
 add("tx1_grep", lambda v: files.grep(v.table("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), "[Ll]icense", limit=50).select("path", "line_no", "line"), "SELECT path, line_no, line FROM (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no FROM documents) WHERE regexp_matches(line, '[Ll]icense') ORDER BY 1, 2 LIMIT 50")
 add("tx2_find", lambda v: files.find_files(v.symbols.select(F.col("file").alias("path")).distinct(), "*.go"), "SELECT path FROM (SELECT DISTINCT file AS path FROM v_symbols WHERE file LIKE '%.go') ORDER BY 1 LIMIT 50")
 add("tx3_read_range", lambda v: files.read_range(v.table("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), 1, 2), "SELECT doc_id AS path, '    1 ' || string_split(text, chr(10))[1] || CASE WHEN len(string_split(text, chr(10))) > 1 THEN chr(10) || '    2 ' || string_split(text, chr(10))[2] ELSE '' END AS text FROM documents")
-add("k3_usage_groups", lambda v: v.refs.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("symbol_id").alias("symbols"), F.min("start_pos").alias("first")), "SELECT file, count(*) AS n, count(DISTINCT symbol_id) AS symbols, min(start_pos) AS first FROM v_refs GROUP BY 1")
-add("k7_compact_outline", lambda v: v.symbols.groupBy("file").agg(F.listagg(F.concat_ws(" ", "name", T.kind_short(F.col("kind"))), F.lit(",")).alias("x"), F.count("*").alias("n")).select("file", "n"), "SELECT file, count(*) AS n FROM v_symbols GROUP BY 1")
+
+from . import report_queries as _reports  # noqa: E402, F401

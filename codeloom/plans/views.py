@@ -45,7 +45,9 @@ VIEWS = {
       'import ' || c_name || ' from ' || n_name AS import_text FROM (SELECT DISTINCT o_orderpriority AS p, o_custkey FROM {orders}) t
       JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0""",
     "v_calls": """SELECT user_id AS session_id, event_id AS call_id, ts, CASE event_type WHEN 'view' THEN 'Read' WHEN 'click' THEN 'Grep' WHEN 'error' THEN 'Bash' WHEN 'signup' THEN 'Glob' ELSE 'Edit' END AS tool_name,
-      CAST(floor(value * 20) AS BIGINT) AS result_tokens, props FROM {events}""",
+      CAST(floor(value * 20) AS BIGINT) AS result_tokens, props,
+      CASE event_id % 4 WHEN 0 THEN 'getUserName' WHEN 1 THEN 'two words' WHEN 2 THEN 'user_id' ELSE 'a' END AS pattern,
+      '/ws/src/mod' || CAST(event_id % 3 AS VARCHAR(20)) || '.py' AS file_path, 'src/mod' || CAST(event_id % 2 AS VARCHAR(20)) || '.py:3: x' AS result FROM {events}""",
     "v_runs": """SELECT 'task' || CAST(user_id % 40 AS VARCHAR(20)) AS task_id, CASE WHEN event_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS condition, event_id,
       event_type AS tool, value AS wall_time, CAST(floor(value * 1000) AS BIGINT) AS tokens_in, CAST(floor(value * 10) AS BIGINT) AS tokens_out, user_id % 3 <> 0 AS success FROM {events}""",
 }

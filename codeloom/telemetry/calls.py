@@ -67,22 +67,37 @@ def context_tokens(turns: DataFrame, session: str, order: str, task: str, out: s
     return turns.withColumn("context_tokens", (F.col(task) + F.coalesce(F.sum(F.col(out) + F.col(results)).over(w), F.lit(0))).cast("long"))
 
 
-def after_search(calls: DataFrame, session: str, order: list[str], now: Column, before: Column, back: int, typical: int) -> DataFrame:
-    """Calls ``now`` with a call ``before`` among the ``back`` calls before them: its tokens and the savings."""
+def after_search(calls: DataFrame, session: str, order: list[str], now: Column, before: Column, back: int) -> DataFrame:
+    """Calls ``now`` with a call ``before`` among the ``back`` calls before them; the last of these
+    as the struct ``search`` (tokens, pattern, result)."""
     w = W.partitionBy(session).orderBy(*order).rowsBetween(-back, -1)
-    t = calls.withColumn("search_tokens", F.last(F.when(before, F.col("result_tokens")), ignorenulls=True).over(w))
-    t = t.where(now & F.col("search_tokens").isNotNull())
-    saved = F.greatest(F.lit(0), F.col("search_tokens") + F.col("result_tokens") - typical)
-    t = t.withColumn("saved", saved.cast("long")).where(F.col("saved") >= LEAST_SAVED)
+    one = F.when(before, F.struct(F.col("result_tokens").alias("tokens"), F.col("pattern").alias("pattern"), F.col("result").alias("result")))
+    return calls.withColumn("search", F.last(one, ignorenulls=True).over(w)).where(now & F.col("search").isNotNull())
+
+
+def sequence_savings(calls: DataFrame, typical: int) -> DataFrame:
+    saved = F.greatest(F.lit(0), F.col("search.tokens") + F.col("result_tokens") - typical)
+    t = calls.withColumn("saved", saved.cast("long")).where(F.col("saved") >= LEAST_SAVED)
     return t.withColumn("confidence", F.when(F.col("saved") > 500, F.lit(0.85)).otherwise(F.lit(0.75)))
 
 
+def named_in(path: Column, result: Column) -> Column:
+    """Whether a search result names the file, by its name or a longer end of its path."""
+    name = F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+    return F.coalesce((name != "") & F.contains(result, name), F.lit(False))
+
+
 def multi_hop(calls: DataFrame, session: str, order: list[str]) -> DataFrame:
-    return after_search(calls, session, order, F.col("tool_name") == "Read", F.col("tool_name").isin("Grep", "grep"), GREP_BACK, GREP_TYPICAL)
+    """Reads of a file that a grep for a name found shortly before (columns pattern, file_path, result)."""
+    t = after_search(calls, session, order, F.col("tool_name") == "Read", F.col("tool_name").isin("Grep", "grep"), GREP_BACK)
+    t = t.where(identifier_like(F.col("search.pattern")) & named_in(F.col("file_path"), F.col("search.result")))
+    return sequence_savings(t, GREP_TYPICAL)
 
 
 def find_then_grep(calls: DataFrame, session: str, order: list[str]) -> DataFrame:
-    return after_search(calls, session, order, F.col("tool_name").isin("Grep", "grep"), F.col("tool_name").isin("Glob", "find"), FIND_BACK, SEQUENCE_TYPICAL)
+    """Greps for a name shortly after a search for files."""
+    t = after_search(calls, session, order, F.col("tool_name").isin("Grep", "grep"), F.col("tool_name").isin("Glob", "find"), FIND_BACK)
+    return sequence_savings(t.where(identifier_like(F.col("pattern"))), SEQUENCE_TYPICAL)
 
 
 def grep_rule(pattern: Column, recursive: Column, saved: Column) -> Column:
@@ -92,8 +107,9 @@ def grep_rule(pattern: Column, recursive: Column, saved: Column) -> Column:
     return F.when(identifier_like(pattern) | definition_like(pattern), F.struct(base["tool"].alias("tool"), sure.alias("confidence")))
 
 
-def grep_tool_rule(saved: Column) -> Column:
-    return F.round(F.lit(0.80) + F.when(saved > 500, 0.1).otherwise(0.0), 2)
+def grep_tool_rule(saved: Column, pattern: Column) -> Column:
+    """Confidence for a search for a name; null for other patterns."""
+    return F.when(identifier_like(pattern), F.round(F.lit(0.80) + F.when(saved > 500, 0.1).otherwise(0.0), 2))
 
 
 def read_rule(path: Column, tokens: Column, partial: Column) -> Column:
@@ -103,9 +119,31 @@ def read_rule(path: Column, tokens: Column, partial: Column) -> Column:
     return F.when(F.lower(path).rlike(CODE) & (tokens >= 500) & ~partial, F.struct(saved.cast("long").alias("saved"), sure.alias("confidence")))
 
 
-def find_exec_rule(tokens: Column) -> Column:
+def find_exec_rule(tokens: Column, pattern: Column) -> Column:
+    """Savings and confidence for a find that greps for a name."""
     saved = F.greatest(F.lit(0), tokens - SEQUENCE_TYPICAL)
-    return F.when(saved >= 50, F.struct(saved.cast("long").alias("saved"), F.when(saved > 300, 0.8).otherwise(0.7).alias("confidence")))
+    return F.when(identifier_like(pattern) & (saved >= 50), F.struct(saved.cast("long").alias("saved"), F.when(saved > 300, 0.8).otherwise(0.7).alias("confidence")))
+
+
+def call_history(calls: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """With the files read and the patterns searched before each call, in order (reads, greps)."""
+    w = W.partitionBy(session).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    had = lambda tool, c: F.collect_list(F.when(F.col("tool_name") == tool, F.col(c))).over(w)
+    return calls.withColumn("reads", had("Read", "file_path")).withColumn("greps", had("Grep", "pattern"))
+
+
+def transcript_summary(calls: DataFrame, opportunities: DataFrame, key: str) -> DataFrame:
+    """(key, calls, tokens, tools, commands, saved, saved_pct): counts by tool and by shell command
+    as sorted arrays, and what the opportunities (key, saved) would save."""
+
+    def counts(column: str, name: str) -> DataFrame:
+        n = calls.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("n"))
+        return n.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), "n"))).alias(name))
+
+    t = calls.groupBy(key).agg(F.count("*").alias("calls"), F.sum("result_tokens").cast("long").alias("tokens"))
+    t = t.join(counts("tool_name", "tools"), key, "left").join(counts("command_type", "commands"), key, "left")
+    t = t.join(opportunities.groupBy(key).agg(F.sum("saved").cast("long").alias("saved")), key, "left").withColumn("saved", F.coalesce("saved", F.lit(0)).cast("long"))
+    return t.withColumn("saved_pct", F.when(F.col("tokens") > 0, F.col("saved") * 100.0 / F.col("tokens")).otherwise(F.lit(0.0)))
 
 
 def distribution(calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from codeloom.operators import graph, joins, maintenance, stats
 from codeloom.operators import symbols as S
 from codeloom.sources import extract, files
+from codeloom.streaming import changes
 from codeloom.telemetry import calls as C
 
 TREE = {
@@ -147,14 +148,78 @@ def test_shell(command, want):
 def test_stream_of_changes(spark, tmp_path):
     base, feed = str(tmp_path / "index"), tmp_path / "feed"
     feed.mkdir()
-    start = spark.createDataFrame([("a", 1), ("b", 1)], "file string, version int")
-    start.write.parquet(f"{base}/state-0")
-    maintenance.point_to(spark, base, f"{base}/state-0")
+    start = spark.createDataFrame([(f"f{k}", 1) for k in range(40)] + [("a", 1), ("b", 1)], "file string, version int")
+    changes.create(start, base, buckets=8)
+    before = changes.manifest(spark, base)
     (feed / "1.json").write_text("\n".join(json.dumps(x) for x in [{"path": "a", "op": "modify", "seq": 1}, {"path": "b", "op": "modify", "seq": 2}, {"path": "b", "op": "delete", "seq": 3}, {"path": "c", "op": "create", "seq": 4}]))
     extract_rows = lambda paths: paths.selectExpr("path as file", "2 as version")
-    maintenance.watch(spark, str(feed), base, extract_rows, str(tmp_path / "cp"), once=True).awaitTermination()
-    got = spark.read.parquet(maintenance.current(spark, base))
-    assert sorted(map(tuple, got.collect())) == [("a", 2), ("c", 2)]
+    changes.watch(spark, str(feed), base, extract_rows, str(tmp_path / "cp"), once=True).awaitTermination()
+    want = sorted([(f"f{k}", 1) for k in range(40)] + [("a", 2), ("c", 2)])
+    assert sorted(map(tuple, changes.table(spark, base).collect())) == want
+    after = changes.manifest(spark, base)
+    assert sum(before["parts"].get(b) != p for b, p in after["parts"].items()) <= 3
+    # the batch again, as after a crash between the commit and the stream's own record
+    batch = spark.createDataFrame([("a", "delete", 1)], "path string, op string, seq long")
+    assert not changes.apply_changes(spark, base, batch, extract_rows, after["batch"])
+    assert sorted(map(tuple, changes.table(spark, base).collect())) == want
+    assert changes.apply_changes(spark, base, batch, extract_rows, after["batch"] + 1)
+    assert sorted(map(tuple, changes.table(spark, base).collect())) == [x for x in want if x[0] != "a"]
+
+
+def test_meta(spark):
+    meta = spark.createDataFrame([("schema_version", "1.2")], "key string, value string")
+    assert not maintenance.ready(meta)
+    meta = maintenance.meta_set(maintenance.meta_set(meta, "initial_index_complete", "false"), "initial_index_complete", "true")
+    assert maintenance.ready(meta) and meta.count() == 2 and maintenance.meta_get(meta, "schema_version").first()[0] == "1.2"
+    assert maintenance.meta_delete(meta, "schema_version").count() == 1
+
+
+def test_outline_of_deep_and_cyclic_containers(spark):
+    rows = [("f", f"i{k}", f"n{k}", f"n{k - 1}" if k else None, k) for k in range(25)] + [("f", "x", "p", "q", 100), ("f", "y", "q", "p", 101), ("f", "z", "r", "q", 102)]
+    got = {r.id: r.depth for r in stats.outline(spark.createDataFrame(rows, "file string, id string, name string, container string, start_pos long")).collect()}
+    assert got == {**{f"i{k}": k for k in range(25)}, "x": 0, "y": 0, "z": 0}
+
+
+def test_narrowest_of_long_and_short_spans(spark):
+    import random
+
+    rng = random.Random(5)
+    spans = [("f", a, a + rng.choice([1, 50, 3000, 200_000, 40_000_000]), f"s{k:03d}") for k, a in enumerate(rng.randrange(0, 5_000_000) for _ in range(150))]
+    probes = [(k, rng.choice("fg"), rng.randrange(0, 6_000_000)) for k in range(200)] + [(1000 + k, "f", s[1]) for k, s in enumerate(spans[:50])]
+    want = {}
+    for k, f, at in probes:
+        hit = [(b - a, a, i) for g, a, b, i in spans if g == f and a <= at < b]
+        if hit:
+            want[k] = min(hit)[2]
+    got = joins.narrowest(spark.createDataFrame(probes, "probe_id long, file string, offset long"), spark.createDataFrame(spans, "file string, start_pos long, end_pos long, id string"))
+    assert {r.probe_id: r.id for r in got.collect()} == want
+
+
+def test_p_of_t(spark):
+    from pyspark.sql import functions as F
+
+    # published values of Student's t: t, degrees of freedom, two-sided p
+    known = [(2.228, 10, 0.05), (12.706, 1, 0.05), (2.0, 60, 0.05003), (3.291, 1e6, 0.001), (0.0, 5, 1.0), (-2.845, 20, 0.01)]
+    got = spark.createDataFrame([(float(t), float(n), p) for t, n, p in known], "t double, n double, p double").select("p", stats.p_of_t(F.col("t"), F.col("n")).alias("q")).collect()
+    assert all(abs(r.p - r.q) < 2e-4 for r in got)
+
+
+def test_imports(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.functions import imports as I
+
+    files = spark.createDataFrame([(x,) for x in ("/w/src/lib.rs", "/w/src/a.rs", "/w/src/b/mod.rs", "/w/src/b/c.rs", "/t/x.ts", "/t/y/index.tsx")], "file string")
+    ts = [(1, "/t/z.ts", "'./x'", "/t/x.ts"), (2, "/t/z.ts", "./y", "/t/y/index.tsx"), (3, "/t/u/z.ts", "../none", "/t/none"), (4, "/t/z.ts", "react", None)]
+    rows = spark.createDataFrame([x[:3] for x in ts], "k int, file string, s string")
+    c = I.import_candidates(F.col("file"), F.col("s"))
+    assert {r.k: r.resolved for r in I.first_existing(rows, "k", c, files, F.get(c, F.lit(0))).collect()} == {x[0]: x[3] for x in ts}
+    rs = [(1, "/w/src/a.rs", "crate::b::X", "/w/src/b/mod.rs"), (2, "/w/src/b/c.rs", "super::a::Y", "/w/src/a.rs"), (3, "/w/src/main.rs", "w::Z", "/w/src/lib.rs"), (4, "/w/src/a.rs", "self::q", None), (5, "/w/src/lib.rs", "a", "/w/src/a.rs"), (6, "/w/src/a.rs", "std::io", None), (7, "/w/src/a.rs", "crate", "/w/src/lib.rs")]
+    rows = spark.createDataFrame([x[:3] for x in rs], "k int, file string, u string")
+    c = I.module_candidates(F.col("u"), F.col("file"), F.lit("/w/src"))
+    assert {r.k: r.resolved for r in I.first_existing(rows, "k", c, files).collect()} == {x[0]: x[3] for x in rs}
+    got = spark.createDataFrame([(x,) for x in (12.34, 61.0, 3725.0)], "s double").select(I.duration(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["12.3s", "1m 1s", "1h 2m"]
 
 
 def test_versions():
