@@ -4,8 +4,10 @@ The words of the licence templates are ranked by the number of documents that ha
 highest inverse document frequency first; no word is too frequent to be looked up. The rarest words
 of each template are its postings. A document looks up those of every template whose key phrases
 it has all words of (the others cannot be verified), and every place votes for (template, place of
-the template's first word). Places with enough distinct words are verified: each mandatory key phrase of the template
-must stand there. The base phrases are found apart from that, wherever they stand.
+the template's first word). Votes for places up to SLACK words apart count together, so that words
+put into a notice or left out of it do not lose it. Places with enough distinct words are verified:
+each mandatory key phrase of the template must stand there, whole. The base phrases are found apart
+from that, wherever they stand.
 
 What is collected is one count for each word of the templates, a fixed number. Texts are never
 exchanged between executors.
@@ -46,8 +48,11 @@ TEMPLATES = (
 #: So many of a template's rarest words are looked up; a place needs so many distinct words, and
 #: this share of those looked up.
 LOOK_UP, VOTES, LEAST_SCORE = 16, 2, 0.5
-#: Words before and after a template's place in which its key phrases may stand.
+#: Places that votes for one notice may lie apart; twice so many words before and after a template's
+#: place its key phrases may stand.
 SLACK = 4
+#: Added to places so that none is below zero; longer than any template.
+FIRST = 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,38 +107,69 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # the places of the rarest words of each template that the document can hold
     looked = [sorted(set(ws), key=rank.__getitem__)[:LOOK_UP] for _, ws, _ in templates]
     size = [len(x) for x in looked]
-    postings = {w: [(k, p) for k, (_, ws, _) in enumerate(templates) if w in looked[k] for p, x in enumerate(ws) if x == w] for w in rare}
+    postings = {w: [(k, p, looked[k].index(w)) for k, (_, ws, _) in enumerate(templates) if w in looked[k] for p, x in enumerate(ws) if x == w] for w in rare}
     need = [sorted({w for p in keys for w in p}) for _, _, keys in templates]
     t = t.withColumn("have", F.array_intersect("words", F.array(*map(F.lit, sorted({w for x in need for w in x})))))
     t = t.withColumn("can", F.filter(F.array(*[F.when(_all(F.array_contains("have", w) for w in x), F.lit(k)) for k, x in enumerate(need)]), lambda k: k.isNotNull()))
     ranks = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(rank[w]))])
-    places = F.create_map(*[x for w in rare for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p")) for k, p in postings[w]]))])
+    places = F.create_map(*[x for w in rare for x in (F.lit(rank[w]), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(p).alias("p"), F.lit(j).alias("w")) for k, p, j in postings[w]]))])
     seek = F.array_distinct(F.flatten(F.transform("can", lambda k: F.get(F.array(*[F.array(*map(F.lit, x)) for x in looked]), k))))
     hits = F.when(F.size("can") > 0, F.transform(_places(F.col("words"), F.col("n"), lambda w: F.array_contains("seek", w)), lambda i: F.struct(ranks[at(i)].alias("r"), i.alias("i"))))
     t = t.withColumn("seek", seek).withColumn("hits", F.coalesce(hits, F.array().cast("array<struct<r:int,i:int>>")))
-    # a vote as one number: template, place of the template's first word, word
-    votes = F.flatten(F.transform("hits", lambda x: F.transform(F.filter(places[x["r"]], lambda q: F.array_contains("can", q["t"])), lambda q: (q["t"].cast("long") * (1 << 32) + (x["i"] - q["p"] + 256)) * 1024 + x["r"])))
-    t = t.withColumn("votes", F.array_append(F.sort_array(F.array_distinct(votes)), F.lit(-1).cast("long")))
-    zero = F.struct(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("n"), F.array().cast("array<struct<key:bigint,n:int>>").alias("found"))
+    # a vote as one number: template, bin of the place of the template's first word, place in the
+    # bin, word of the template. Each counts in two bins that overlap by half, so that words up to
+    # SLACK places apart, as inserted and missing words leave them, meet in one
+    wide = 2 * SLACK
+
+    def vote(q: Column, i: Column, k: int) -> Column:
+        at = i - q["p"] + FIRST + k * SLACK
+        return (((q["t"].cast("long") * (1 << 32) + (at / wide).cast("int") * 2 + k) * wide) + at % wide) * LOOK_UP + q["w"]
 
+    votes = F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(F.filter(places[x["r"]], lambda q: F.array_contains("can", q["t"])), lambda q: F.array(vote(q, x["i"], 0), vote(q, x["i"], 1))))))
+    t = t.withColumn("votes", F.array_append(F.sort_array(F.array_distinct(votes)), F.lit(-1).cast("long")))
+    zero = F.expr("named_struct('key', -1L, 'words', 0, 'at', 0, 'run', 0, 'best', 0, 'most', 0, 'found', CAST(array() AS ARRAY<STRUCT<key:BIGINT,n:INT,start:INT>>))")
     least = F.array(*[F.lit(max(VOTES, math.ceil(LEAST_SCORE * x))) for x in size])
 
     def count(acc: Column, x: Column) -> Column:
-        key = F.floor(x / 1024).cast("long")
-        done = F.when(acc["n"] >= F.get(least, F.shiftright(acc["key"], 32).cast("int")), F.array_append(acc["found"], F.struct(acc["key"].alias("key"), acc["n"].alias("n")))).otherwise(acc["found"])
-        return F.when(key == acc["key"], F.struct(acc["key"].alias("key"), (acc["n"] + 1).alias("n"), acc["found"].alias("found"))).otherwise(F.struct(key.alias("key"), F.lit(1).alias("n"), done.alias("found")))
+        """One vote more: the words seen as bits, and the place with the most votes of its bin."""
+        key, at, word = F.floor(x / (wide * LOOK_UP)).cast("long"), F.pmod(F.floor(x / LOOK_UP), F.lit(wide)).cast("int"), F.call_function("shiftleft", F.lit(1), F.pmod(x, F.lit(LOOK_UP)).cast("int"))
+        same = key == acc["key"]
+        run = F.when(same & (at == acc["at"]), acc["run"] + 1).otherwise(F.lit(1))
+        better = ~same | (run > acc["most"])
+        code = F.pmod(acc["key"], F.lit(1 << 32))
+        start = (F.floor(code / 2) * wide - F.pmod(code, F.lit(2)) * SLACK + acc["best"] - FIRST).cast("int")
+        n = F.bit_count(acc["words"])
+        done = F.when(n >= F.get(least, F.shiftright(acc["key"], 32).cast("int")), F.array_append(acc["found"], F.struct(acc["key"].alias("key"), n.alias("n"), F.greatest(start, F.lit(0)).alias("start")))).otherwise(acc["found"])
+        return F.struct(
+            key.alias("key"),
+            F.when(same, acc["words"].bitwiseOR(word)).otherwise(word).alias("words"),
+            at.alias("at"),
+            run.alias("run"),
+            F.when(better, at).otherwise(acc["best"]).alias("best"),
+            F.when(better, run).otherwise(acc["most"]).alias("most"),
+            F.when(same, acc["found"]).otherwise(done).alias("found"),
+        )
 
     t = t.withColumn("found", F.aggregate("votes", zero, count)["found"])
     info = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(ws)).alias("len"), F.lit(size[k]).alias("size"), F.array(*[F.lit(f" {' '.join(p)} ") for p in keys]).alias("keys")) for k, (label, ws, keys) in enumerate(templates)])
 
     def verified(x: Column) -> Column:
-        k, start = F.shiftright(x["key"], 32).cast("int"), (F.pmod(x["key"], F.lit(1 << 32)) - 256).cast("int")
+        k, start = F.shiftright(x["key"], 32).cast("int"), x["start"]
         about = F.get(info, k)
-        low = F.greatest(start - SLACK, F.lit(0))
-        there = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, about["len"] + 2 * SLACK), " "), F.lit(" "))
+        low = F.greatest(start - 2 * SLACK, F.lit(0))
+        there = F.concat(F.lit(" "), F.array_join(F.slice("words", low + 1, about["len"] + 4 * SLACK), " "), F.lit(" "))
         return F.struct(about["label"].alias("label"), start.alias("start"), F.least(F.lit(1.0), x["n"] / about["size"]).alias("score"), F.forall(about["keys"], lambda p: F.contains(there, p)).alias("ok"))
 
-    places = F.filter(F.transform("found", verified), lambda x: x["ok"] & (x["score"] >= LEAST_SCORE))
+    t = t.withColumn("checked", F.filter(F.transform("found", verified), lambda x: x["ok"] & (x["score"] >= LEAST_SCORE)))
+
+    def beaten(x: Column, i: Column, step: int) -> Column:
+        """Whether the place ``step`` further on is the same notice, and the better or earlier one."""
+        y = F.get("checked", i + step)
+        ahead = (y["score"] >= x["score"]) if step < 0 else (y["score"] > x["score"])
+        return F.coalesce((y["label"] == x["label"]) & (F.abs(y["start"] - x["start"]) <= SLACK) & ahead, F.lit(False))
+
+    # a notice found through both of its bins is one place; its bins stand side by side
+    places = F.filter("checked", lambda x, i: ~(beaten(x, i, -2) | beaten(x, i, -1) | beaten(x, i, 1) | beaten(x, i, 2)))
     t = t.select("doc_id", F.col("n").cast("long").alias("n_words"), every.alias("every"), base_labels.alias("base"), places.alias("places"))
     return t.select(
         "doc_id",
