@@ -145,13 +145,15 @@ def word_features(word: str) -> tuple[int, int]:
 
 
 class Words(dict):
-    """Features of each word, remembered up to a bound, as shape * 64 + cue."""
+    """Features of each word as shape * 64 + cue; short words are remembered, up to about 100 MB."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
         h, cue = word_features(word)
-        self[word] = out = h * 64 + cue
+        out = h * 64 + cue
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = out
         return out
 
 

@@ -14,7 +14,7 @@ starts by Larsson-Sadakane refinement (8 bytes first, then doubling, sorting onl
 apart, to LENGTH bytes), and common prefixes after Kasai; neighbours with LENGTH common bytes are
 the same string, and all but its first place are repeats. Names with very many segments are split
 over several shards; the sorted strings that each of those leaves are exchanged by range and merged
-by binary search (there, 128-bit hashes stand for the strings).
+by binary search (there, two independent 64-bit hashes stand for the strings).
 
 Edge cases: null text is empty; texts under LENGTH bytes lose nothing; rows that repeat both id
 and text are one document and keep the same bytes; of different texts with one id, the one with
@@ -42,25 +42,27 @@ CHUNK, BITS, MOST_BITS = 1 << 20, 16, 1 << 29
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1 << 21
 
-_BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = np.random.default_rng(6).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+#: A table of bytes and multipliers for each of two independent hashes.
+_BYTE = [np.random.default_rng(k).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for k in (5, 15)]
+_ODD = [np.random.default_rng(k).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1) for k in (6, 16)]
 
 
-def _joined(one: np.ndarray, two: np.ndarray, gap: int, k: int) -> np.ndarray:
+def _joined(one: np.ndarray, two: np.ndarray, gap: int, factor: np.uint64) -> np.ndarray:
     n = min(len(one), len(two) - gap)
-    return one[:n] * _ODD[k] + two[gap : gap + n]
+    return one[:n] * factor + two[gap : gap + n]
 
 
 def string_hashes(data: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hash of every string of GRAM bytes."""
-    h1 = _BYTE[data] if not salt else _BYTE[data] * _ODD[15]
-    h2 = _joined(h1, h1, 1, 0)
-    h4 = _joined(h2, h2, 2, 1)
-    h8 = _joined(h4, h4, 4, 2)
-    h16 = _joined(h8, h8, 8, 3)
-    x = _joined(h16, h8, 16, 4)
+    """64-bit hash of every string of GRAM bytes; that of salt 1 is independent of that of salt 0."""
+    odd = _ODD[salt]
+    h1 = _BYTE[salt][data]
+    h2 = _joined(h1, h1, 1, odd[0])
+    h4 = _joined(h2, h2, 2, odd[1])
+    h8 = _joined(h4, h4, 4, odd[2])
+    h16 = _joined(h8, h8, 8, odd[3])
+    x = _joined(h16, h8, 16, odd[4])
     x ^= x >> np.uint64(31)
-    x *= _ODD[5]
+    x *= odd[5]
     x ^= x >> np.uint64(29)
     return x
 
@@ -132,7 +134,7 @@ def name_counts(rows: DataFrame) -> DataFrame:
 
 
 def _bits_of(name: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = name * _ODD[6], name * _ODD[7]
+    a, b = name * _ODD[0][6], name * _ODD[0][7]
     a ^= a >> np.uint64(32)
     b ^= b >> np.uint64(33)
     return a & np.uint64(bits - 1), b & np.uint64(bits - 1)
@@ -367,7 +369,7 @@ def _shard(rows: list[dict], ranges: int) -> pa.RecordBatch:
             h = string_hashes(data, salt)
             x = np.zeros(len(left), np.uint64)
             for k in range(0, LENGTH - GRAM + 1, 19):  # strings of GRAM bytes that cover LENGTH
-                x = (x ^ (x >> np.uint64(32))) * _ODD[8 + salt] + h[at[left] + k]
+                x = (x ^ (x >> np.uint64(32))) * _ODD[salt][8] + h[at[left] + k]
             strings[key] = x ^ (x >> np.uint64(29))
         for k, of in (("doc_id", "doc_id"), ("h", "h")):
             strings[k] = np.array([r[of] or 0 for r in rows], np.int64)[seg[left]]

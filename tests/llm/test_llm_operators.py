@@ -575,6 +575,15 @@ def test_substrings(spark, docs, empty, split, monkeypatch):
         assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_string_hashes_are_independent():
+    data = np.random.default_rng(1).integers(0, 256, 5000, np.uint8)
+    a, b = substrings.string_hashes(data), substrings.string_hashes(data, 1)
+    assert len(np.unique(a)) == len(a) == len(np.unique(b))
+    # neither hash is a multiple of the other
+    ratio = lambda x: {(int(u) * pow(int(v) | 1, -1, 1 << 64)) % (1 << 64) for u, v in zip(a[:200], x[:200], strict=True)}
+    assert len(ratio(b)) > 150
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(7)
     for alphabet in ("ab", "abcdefgh"):
