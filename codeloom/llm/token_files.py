@@ -30,9 +30,9 @@ NO_ID = -(2**63)
 SHARD = "name string, part int, first_id long, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-#: Pieces that one process remembers, and the longest of them in characters (about 60 MB); the
+#: Pieces that one process remembers, and the longest of them in characters (about 120 MB); the
 #: memory is emptied beyond that.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 600_000, 64
 #: Bytes of text in a shard at most, on average; bytes of ids read at once.
 SHARD_BYTES, READ_BYTES = 256 << 20, 8 << 20
 
