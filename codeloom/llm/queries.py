@@ -58,4 +58,41 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: SQL of the queries whose whole result it can express. The others rest on a tokenizer, keyed permutations,
+#: zstandard or trained models.
+ORACLE_SQL: dict[str, str] = {
+    "op8_substrings": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+blocks AS (SELECT doc_id, n, unnest(range(0, n - 99, 256)) AS block, h FROM d),
+pieces AS (SELECT doc_id, n, block, substr(h, 2 * block + 1, 710) AS piece FROM blocks),
+places AS (SELECT doc_id, block, piece, unnest(range(block, least(block + 256, n - 99))) AS p FROM pieces),
+strings AS (SELECT doc_id, p, substr(piece, 2 * (p - block) + 1, 200) AS s FROM places),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM strings) WHERE k > 1),
+steps AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM later),
+runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS free FROM spans),
+cut AS (SELECT e.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+          string_agg(substr(h, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) AS kept FROM ends e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * s.n >= 75 * (a.n + b.n - s.n)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, ways.y FROM reach r JOIN ways ON ways.x = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+""",
+}

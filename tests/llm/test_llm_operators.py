@@ -7,13 +7,15 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from codeloom.llm import decontamination, licenses, minhash, mixing, pii, quality, quotes, secrets, substrings, token_files
+from codeloom.llm import decontamination, licenses, minhash, mixing, pii, quality, queries, quotes, secrets, substrings, token_files
 from codeloom.llm.common import shared_dir
 from codeloom.llm.queries import tokenizer_path
 
+SF = "/root/testdata/sf0.001"
 WS = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, n long, h long"
 
@@ -815,3 +817,14 @@ def test_conversations_given(spark):
 
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_of_queries(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    found = duck.execute(queries.ORACLE_SQL[name])
+    columns = [x[0] for x in found.description]
+    mine = queries.QUERIES[name](spark, SF)
+    assert sorted(mine.columns) == sorted(columns)
+    assert sorted(tuple(r[x] for x in columns) for r in mine.collect()) == sorted(found.fetchall())
