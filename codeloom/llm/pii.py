@@ -108,18 +108,58 @@ TRAINING = (
     "The meeting was on 12/03/1984 in the hall.",
     "Version 1.2.3 was released on 2019-04-01 by the team.",
     "In 1990 the price was 12,500 and in 1991 it was 13,000.",
-    "Thonter Rethan and Oreand the tion.",
-    "Anble the sttion. Ering that onth Hethe.",
+    "Green hills and Old walls lie behind the town.",
+    "Many rivers run south. Others run north and Some run west.",
     "Der Ein und die Erst in Lich.",
     "La Casa de los Bosques es grande.",
     "Order 555-123 was shipped in box 12-34-5678.",
-    "The token = is long and 4785380592391139 stands there.",
+    "The entry 4785380592391139 stands in the ledger.",
     "Mr and Mrs are words, and so is Dr in a list.",
     "call it a day or phone home",
     "She said that the number is 42 and the born are many.",
     "NAME LIST AND OTHER THINGS",
     "call The Man from The Hill",
     "He was born in The Old Town and lived on.",
+    "My name is {name:Laura B. Fields}.",
+    "My name is {name:Bruno} and I wrote last week.",
+    "The visitor was Mr. {name:George H. Patel} from the bank.",
+    "Mr. {name:Leo} left early.",
+    "Mrs. {name:Dora} took the train.",
+    "Mrs. {name:Edith W. Lange} paid in cash.",
+    "Ms. {name:Nina} is waiting outside.",
+    "A letter from Ms. {name:Vera}, cashier, came today.",
+    "Dr. {name:Emil} will see you now.",
+    "Dr. {name:Ruth G. Silva} wrote the paper.",
+    "We thank Mr. {name:Sean O'Neill} and his team.",
+    "Name: {name:Irene}, driver",
+    "Name: {name:Carl V. Jensen}",
+    "Name: {name:Anne Smith-Jones}, nurse",
+    "first name: {name:Rosa}",
+    "Date of birth: {birth:03/08/1955} Sex: F",
+    "Date of birth: {birth:1968-12-24}, city: Lyon",
+    "DOB: {birth:19/06/2001}; class: B",
+    "My son was born on {birth:11.09.1947}.",
+    "Passport number: {idno:K7654321}",
+    "The form says SSN: {idno:219-09-9999}, and a date.",
+    "Their phone is {local:555-403-2217} in the evening.",
+    "His phone is {local:404-238-0175} now.",
+    "phone is {local:(303) 555-0110} there",
+    "Please call me at {local:404-555-0199} tonight.",
+    "call me at {local:(617) 244-0133} instead",
+    "phone: {local:617-555-0133}, mornings only",
+    "Phone: {local:(617) 555-0171}",
+    "Tel: {local:702-318-4410} or by post",
+    "Call {local:702-555-0148} now.",
+    "Name of the ship: Old Star",
+    "host name: server.local",
+    "user name: admin",
+    "Table name: orders, column name: total",
+    "Name and address of the shop are on the door.",
+    "Box number: 77 is empty.",
+    "The phone is broken and the line is dead.",
+    "Call me at noon or at 10:45.",
+    "Mr. and Mrs. were the first words.",
+    "There is 555-700 and there is 123-45-6789-10 in the list.",
 )
 
 #: Cue words, as features of their own.
@@ -137,19 +177,22 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-def word_features(word: str) -> tuple[int, int]:
-    """Number of a word's shape (a bucket of a hash) and of its cue, 0 if it is none."""
+def _bucket(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(shape(word).encode(), digest_size=4).digest(), "big") % _SHAPES
+
+
+def word_features(word: str) -> tuple[int, int, int]:
+    """Numbers of a word's shape (a bucket of a hash), of its shape without the marks at its end, and of its cue, 0 if it is none."""
     low = word.lower()
-    h = int.from_bytes(hashlib.blake2b(shape(word).encode(), digest_size=4).digest(), "big") % _SHAPES
-    return h, 1 + CUES.index(low) if low in CUES else 0
+    return _bucket(word), _bucket(word.rstrip(".,;:!?")), 1 + CUES.index(low) if low in CUES else 0
 
 
 class Words(dict):
-    """Features of each word as shape * 64 + cue; short words are remembered, up to about 100 MB."""
+    """Features of each word as (bare shape * 512 + shape) * 64 + cue; short words are remembered, up to about 100 MB."""
 
     def __missing__(self, word: str) -> int:
-        h, cue = word_features(word)
-        out = h * 64 + cue
+        h, bare, cue = word_features(word)
+        out = (bare * 512 + h) * 64 + cue
         if len(word) <= 64:
             if len(self) >= 500_000:
                 self.clear()
@@ -157,19 +200,19 @@ class Words(dict):
         return out
 
 
-_TABLES = (_SHAPES, _SHAPES, _SHAPES, 64, 64, 64)
+_TABLES = (_SHAPES, _SHAPES, _SHAPES, _SHAPES, 64, 64, 64)
 ROWS = sum(_TABLES)
 
 
 def features(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Rows of the tables for each word: own, last and next shape, own, last and last but one cue.
+    """Rows of the tables for each word: own bare shape, own, last and next shape, own, last and last but one cue.
 
     Pieces do not see each other: beyond the ends there is shape 0 and cue 0 of the edge.
     """
     n = len(words)
     at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     left = np.repeat(lengths, lengths) - at
-    s, c = words >> 6, words & 63
+    bare, s, c = words >> 15, words >> 6 & 511, words & 63
 
     def moved(x: np.ndarray, k: int, edge: int) -> np.ndarray:
         out = np.full(n, edge)
@@ -181,7 +224,7 @@ def features(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             out[left <= -k] = edge
         return out
 
-    parts = (s, moved(s, 1, 0), moved(s, -1, 0), c, moved(c, 1, 63), moved(c, 2, 63)) if n else (s,) * 6
+    parts = (bare, s, moved(s, 1, 0), moved(s, -1, 0), c, moved(c, 1, 63), moved(c, 2, 63)) if n else (s,) * 7
     return np.column_stack([p + o for p, o in zip(parts, np.cumsum((0, *_TABLES[:-1])), strict=True)])
 
 

@@ -521,6 +521,54 @@ def test_field_held_out():
     assert [(text[a:b], pii.KINDS[k]) for a, k, b in pii.field_spans([text], crf, known)[0]] == [("Eva Stone", "name"), ("321-54-9876", "idno")]
 
 
+def sentences_held_out(rng, n):
+    """Sentences with one span (text, (start, kind, end)) and without (text, None); none shares a name with the training table."""
+    first = "Tomás Ayesha Björn Chiara Kofi Sana Rupert Malin Idris Noémie Wanda Hugo".split()
+    last = "Achterberg Mensah O'Hara Qureshi Svensson Ricci Lefèvre Kowalska Ortiz-Vega Blackwood Tran Zimmer".split()
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = {
+        "name": lambda: " ".join([rng.choice(first)] + rng.choice([[], [rng.choice(last)], [rng.choice("ABGKRS") + ".", rng.choice(last)]])),
+        "birth": lambda: rng.choice([f"{rng.randint(10, 28)}/{rng.randint(10, 12)}/{rng.randint(1931, 2009)}", f"{rng.randint(1931, 2009)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"0{rng.randint(1, 9)}.0{rng.randint(1, 9)}.{rng.randint(1931, 2009)}"]),
+        "idno": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "local": lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]),
+    }
+    frames = (
+        ("name", "Good morning, my name is {} and I rent the flat upstairs."),
+        ("name", "The parcel is for Mrs. {} on the third floor."),
+        ("name", "According to Dr. {} the results are fine."),
+        ("name", "Name: {}"),
+        ("name", "Mr. {} could not attend."),
+        ("birth", "Date of birth: {}, place unknown"),
+        ("birth", "Her twin was born on {} as well."),
+        ("birth", "DOB: {}"),
+        ("idno", "Applicant SSN: {} (copy attached)"),
+        ("idno", "The social security number {} belongs to the tenant."),
+        ("local", "Tel: {}"),
+        ("local", "You can call me at {} before noon."),
+        ("local", "His phone is {} these days."),
+    )
+    plain = ("The name of the street changed twice.", "Item 12-345 costs 99.50 since 2021-03-04.", "The Lord of The Isles sailed from Oban to Barra.", "Call the plumber at ten.", "Ticket number: 8841 is still open.", "Mr. or Mrs. is not asked on the form.", "The phone is on the table.", "Doctors were born on paper, he said.", "folder name: archive")
+    out = []
+    for _ in range(n):
+        kind, frame = rng.choice(frames)
+        value, at = made[kind](), frame.index("{}")
+        out += [(frame.replace("{}", value), (at, kind, at + len(value))), (rng.choice(plain), None)]
+    return out
+
+
+def test_field_spans_held_out():
+    """Recall and precision of whole spans, by kind."""
+    cases = sentences_held_out(random.Random(41), 1000)
+    want, made, right = Counter(), Counter(), Counter()
+    for (_, gold), found in zip(cases, pii.field_spans([t for t, _ in cases], pii.trained(), pii.Words()), strict=True):
+        found = [(a, pii.KINDS[k], b) for a, k, b in found]
+        want.update([gold[1]] if gold else [])
+        made.update(x[1] for x in found)
+        right.update(x[1] for x in found if x == gold)
+    figures = {k: (right[k] / want[k], right[k] / max(made[k], 1)) for k in pii.FOUND}
+    assert all(recall >= 0.9 and precision >= 0.9 for recall, precision in figures.values()), figures
+
+
 def test_field_at_every_place_of_a_long_line(monkeypatch):
     crf, known = pii.trained(), pii.Words()
     spans = ("My name is Eva Stone and", "born on 14/02/1971 there", "SSN: 321-54-9876 and")
