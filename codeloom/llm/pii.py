@@ -151,6 +151,8 @@ TRAINING = (
     "Tel: {local:702-318-4410} or by post",
     "Call {local:702-555-0148} now.",
     "Name of the ship: Old Star",
+    "First came plan A. B. Then came C. and the rest.",
+    "It ended. A. I. Older lists have more of them.",
     "host name: server.local",
     "user name: admin",
     "Table name: orders, column name: total",
