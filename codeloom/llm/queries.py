@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, minhash, mixing, pii, quality, quotes, secrets, substrings, token_files
+from . import decontamination, licenses, merkle, minhash, mixing, pii, quality, quotes, secrets, substrings, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,7 +57,19 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations, op13_merkle_manifest)}
+
+#: Unsigned crc32 of the decimal doc_id: a step for each byte, eight for its bits.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
 
 #: SQL of the queries whose whole result it can express. The others rest on a tokenizer, keyed permutations,
 #: zstandard or trained models.
@@ -94,5 +106,29 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, w
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)
+""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS r
+  FROM (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} END AS claim FROM documents)),
+nodes AS MATERIALIZED (
+  SELECT lang, 0 AS level, i, n, leaf AS digest FROM leaves
+  UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2, n),
+langs AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS MATERIALIZED (
+  SELECT 0 AS level, i, n, subroot AS digest FROM langs
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+up AS (
+  SELECT r, lang, 0 AS level, i, n, coalesce(claim, leaf) AS digest, '' AS path FROM leaves
+  UNION ALL SELECT r, u.lang, u.level + 1, u.i // 2, (u.n + 1) // 2,
+    sha256(CASE WHEN s.digest IS NULL THEN u.digest WHEN u.i % 2 = 0 THEN u.digest || s.digest ELSE s.digest || u.digest END), path || coalesce(s.digest, '')
+  FROM up u LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM u.lang AND s.level = u.level AND s.i = xor(u.i, 1) WHERE u.n > 1),
+over AS (
+  SELECT r, 0 AS level, l.i, l.n, digest, path, subroot FROM up JOIN langs l ON l.lang IS NOT DISTINCT FROM up.lang WHERE up.n = 1
+  UNION ALL SELECT r, o.level + 1, o.i // 2, (o.n + 1) // 2,
+    sha256(CASE WHEN s.digest IS NULL THEN o.digest WHEN o.i % 2 = 0 THEN o.digest || s.digest ELSE s.digest || o.digest END), path || coalesce(s.digest, ''), subroot
+  FROM over o LEFT JOIN tops s ON s.level = o.level AND s.i = xor(o.i, 1) WHERE o.n > 1)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(path) AS proof_sha256, o.digest AS folded_root, o.digest = t.digest AS verified
+FROM leaves JOIN over o USING (r) JOIN tops t ON t.n = 1 WHERE o.n = 1
 """,
 }
