@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, merkle, minhash, mixing, pii, quality, quotes, secrets, substrings, token_files
+from . import decontamination, licenses, merkle, minhash, mixing, periodic, pii, quality, quotes, secrets, substrings, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,11 +57,15 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(_table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"), repeat_tails=True, with_text=False)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations, op11_periodic_runs, op13_merkle_manifest)}
 
 #: Unsigned crc32 of the decimal doc_id: a step for each byte, eight for its bits.
 _CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
@@ -106,6 +110,24 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, w
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)
+""",
+    "op11_periodic_runs": f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_CRC} AS h FROM documents),
+places AS (SELECT *, h // 10 AS g, len(w) AS n FROM texts),
+tails AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM places),
+docs AS MATERIALIZED (SELECT doc_id, r, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM tails),
+grams AS MATERIALIZED (SELECT r, n, i, md5(array_to_string(list_slice(w, i + 1, i + 5), ' ')) AS s FROM (SELECT r, n, w, unnest(range(0, n - 4)) AS i FROM docs)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.s = y.s AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+steps AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+found AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM steps GROUP BY r, q, island),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS q FROM found WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length DESC, start, q) AS k FROM runs),
+told AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM (SELECT r, unnest(range(start + q, start + length)) AS i FROM runs)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(w) AS word, unnest(range(0, n)) AS i FROM docs WHERE r IN (SELECT r FROM runs)) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.length // b.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, array_to_string(w, ' '), '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (r) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (r) LEFT JOIN kept USING (r)
 """,
     "op13_merkle_manifest": f"""
 WITH RECURSIVE leaves AS MATERIALIZED (
