@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, merkle, minhash, mixing, periodic, pii, quality, quotes, secrets, substrings, token_files
+from . import decontamination, jaccard, licenses, merkle, minhash, mixing, periodic, pii, quality, quotes, secrets, substrings, token_files
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -61,11 +61,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(_table(spark, sf_dir, "documents"), repeat_tails=True, with_text=False)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations, op11_periodic_runs, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_mixing, op3_quality, op4_licenses, op5_decontamination, op6_secrets, op7_personal_data, op8_substrings, op9_near_duplicates, op10_conversations, op11_periodic_runs, op12_jaccard_join, op13_merkle_manifest)}
 
 #: Unsigned crc32 of the decimal doc_id: a step for each byte, eight for its bits.
 _CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
@@ -128,6 +132,22 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.length // b.q)::BIGINT AS exponent_milli,
   sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, array_to_string(w, ' '), '')) AS collapsed_sha256
 FROM docs LEFT JOIN told USING (r) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (r) LEFT JOIN kept USING (r)
+""",
+    "op12_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 2), ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS MATERIALIZED (
+  SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * s.n >= 90 * (a.n + b.n - s.n)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, ways.y FROM reach r JOIN ways ON ways.x = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id
+FROM least LEFT JOIN sizes USING (doc_id)
 """,
     "op13_merkle_manifest": f"""
 WITH RECURSIVE leaves AS MATERIALIZED (
