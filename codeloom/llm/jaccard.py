@@ -9,12 +9,13 @@ of its prefix shingles, and the l that costs least is taken: a longer prefix, an
 shingles more that a candidate must share with it before the full sets are compared.
 
 Texts with equal sets are one class from the start. A shingle's list is never expanded into all
-pairs when it is long. Members of long lists are compared with a few of their members, which joins
+pairs when it is long: its members are compared exactly, in blocks. Where that would cost more than
+to read the corpus again, members of long lists are first compared with a few of their members, which joins
 large groups of near copies by a link or two a class. A long list whose members are still of many groups
 is of a shingle that is frequent after all: it goes to the end of the order, and the texts that
-have it in their prefix take further shingles instead, until nothing changes or ROUNDS are over.
-What long lists then leave (near copies outside their group's component, texts made of frequent
-shingles) is compared exactly, in blocks.
+have it in their prefix take further shingles instead, until blocks are cheap, nothing changes or ROUNDS
+are over. Blocks are for what is then left: near copies outside their group's component, texts made of
+frequent shingles.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; texts with fewer
 words than a shingle are one shingle; rows that repeat a text are one class whatever their ids; a
@@ -47,6 +48,11 @@ SMALL = 32
 STARS, ROUNDS = 3, 6
 #: Shingles of a set that cost as much to compare as one entry of a list costs to join.
 UNIT = 64
+#: Long lists are worked on before blocks if these would compare more shingles than so many times
+#: those of the whole corpus, and as long as that leaves at most so much of the cost.
+READS, LEFT = 512, 0.75
+#: Classes (about 40 bytes each) that are broadcast to find their texts; more are joined by an exchange.
+FEW = 50_000
 #: Pairs with one set that one task compares; bytes of sets in a block and in a share of members;
 #: bytes of text worked on at once.
 PAIRS, QUERIES, MEMBERS, CHUNK = 4096, 1 << 20, 1 << 22, 1 << 18
@@ -137,9 +143,9 @@ def signatures(texts: DataFrame, counts) -> DataFrame:
     return map_batches(texts, run, "doc_id long, n long, cls binary, tokens array<long>")
 
 
-def of_classes(texts: DataFrame, wanted: DataFrame, f, schema: str, *columns: str) -> DataFrame:
-    """``f`` (set, class, row of ``columns``) of the set of each class of ``wanted`` (cls, doc_id and
-    ``columns``): only the texts of these documents are exchanged."""
+def of_classes(texts: DataFrame, wanted: DataFrame, f, schema: str, *columns: str, few: bool = False) -> DataFrame:
+    """``f`` (set, row of ``columns``) of the set of each class of ``wanted`` (cls, doc_id and
+    ``columns``): only the texts of these documents are exchanged, none if there are ``few``."""
     fields = ["cls", *columns]
 
     def run(batches):
@@ -152,14 +158,17 @@ def of_classes(texts: DataFrame, wanted: DataFrame, f, schema: str, *columns: st
                     names = names or list(out[0])
                     yield pa.RecordBatch.from_pylist(out)
 
-    rows = texts.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    if few:
+        wanted = F.broadcast(wanted)
+    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
     # rows that share an id and a text would give a class twice
     return map_batches(rows.select("text", *fields), run, schema).dropDuplicates(["cls"])
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
     """(cls, set) of the classes in ``wanted`` (cls, doc_id)."""
-    return of_classes(texts, wanted, lambda s, r: {"cls": r["cls"], "set": s.tobytes()}, "cls binary, set binary")
+    return of_classes(texts, wanted, lambda s, r: {"cls": r["cls"], "set": s.tobytes()}, "cls binary, set binary", few=few)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -313,10 +322,14 @@ class Join:
         self.signed = stored(signatures(self.texts, self.counts), "signatures")
         some = self.signed.where("n > 0").groupBy("cls")
         self.classes = stored(some.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+        self.total = self.classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         self.found = components(self.spark.createDataFrame([], "a binary, b binary"))
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        return stored(shingle_sets(self.texts, self.classes.select("cls", "doc_id").join(wanted, "cls", "left_semi")), "sets")
+        wanted = stored(self.classes.select("cls", "doc_id").join(wanted, "cls", "left_semi"), "wanted")
+        out = stored(shingle_sets(self.texts, wanted, wanted.count() <= FEW), "sets")
+        discard(self.spark, wanted)
+        return out
 
     def link(self, pairs: DataFrame) -> bool:
         """Verify pairs and extend the components; whether there was any pair."""
@@ -345,11 +358,25 @@ class Join:
         return rows.join(mixed, "t", "left_semi")
 
     def grouped(self, rows: DataFrame) -> DataFrame:
-        """Compare members of long lists with some of them; the rows of lists still mixed, stored."""
+        """Rows of long lists still mixed, stored, after their members were compared with some of them, if
+        that is worth it."""
+        mixed = stored(self.long_lists(rows), "long-lists")
+        cost = self.cost(mixed)
         for k in range(STARS):
-            if not self.link(star(self.long_lists(rows), k)):
+            if cost <= READS * self.total:
+                break
+            self.link(star(mixed, k))
+            before, mixed = mixed, stored(self.long_lists(rows), "long-lists")
+            discard(self.spark, before)
+            last, cost = cost, self.cost(mixed)
+            if cost > LEFT * last:
                 break
-        return stored(self.long_lists(rows), "long-lists")
+        return mixed
+
+    def cost(self, mixed: DataFrame) -> int:
+        """At most so many shingles are compared when all members of mixed lists are, in blocks."""
+        size = mixed.select("cls", "n").distinct().agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return size[0] * size[1]
 
     def moved(self, mixed: DataFrame, last: DataFrame | None) -> DataFrame:
         """(cls, n, last, tokens): classes with frequent shingles in their prefix, with another one."""
@@ -365,16 +392,22 @@ class Join:
             tokens = prefix(own, counts.value, np.array(r["last"], np.int64).view(np.uint64))
             return {"cls": r["cls"], "n": len(own), "last": r["last"], "tokens": tokens.view(np.int64).tolist()}
 
-        wanted = self.classes.select("cls", "doc_id").join(met, "cls")
-        return stored(of_classes(self.texts, wanted, again, "cls binary, n long, last array<long>, tokens array<long>", "last"), "prefixes")
+        wanted = stored(self.classes.select("cls", "doc_id").join(met, "cls"), "wanted")
+        out = stored(of_classes(self.texts, wanted, again, "cls binary, n long, last array<long>, tokens array<long>", "last"), "prefixes")
+        discard(self.spark, wanted)
+        return out
 
     def lists(self) -> tuple[DataFrame, DataFrame]:
         """All rows of shared prefix shingles, and those of long lists that are still mixed."""
         post = postings(self.classes)
         rows = self.listed(post, "lists")
         mixed = self.grouped(rows)
-        moved = None
+        moved, last = None, None
         for _ in range(ROUNDS):
+            cost = self.cost(mixed)
+            if cost <= READS * self.total or (last is not None and cost > LEFT * last):
+                break
+            last = cost
             more = self.moved(mixed, moved)
             if more.isEmpty():
                 discard(self.spark, more)

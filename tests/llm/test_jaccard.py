@@ -70,6 +70,9 @@ def corpus(seed=1):
 def test_similar_documents(spark, monkeypatch, how):
     if "short" in how or "round" in how:
         monkeypatch.setattr(jaccard, "SMALL", 3)
+        monkeypatch.setattr(jaccard, "READS", 0)
+        monkeypatch.setattr(jaccard, "LEFT", 2)
+        monkeypatch.setattr(jaccard, "FEW", 10)
         monkeypatch.setattr(jaccard, "PAIRS", 5)
         monkeypatch.setattr(jaccard, "QUERIES", 1 << 12)
         monkeypatch.setattr(jaccard, "MEMBERS", 1 << 14)
