@@ -50,6 +50,17 @@ VIEWS = {
       '/ws/src/mod' || CAST(event_id % 3 AS VARCHAR(20)) || '.py' AS file_path, 'src/mod' || CAST(event_id % 2 AS VARCHAR(20)) || '.py:3: x' AS result FROM {events}""",
     "v_runs": """SELECT 'task' || CAST(user_id % 40 AS VARCHAR(20)) AS task_id, CASE WHEN event_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS condition, event_id,
       event_type AS tool, value AS wall_time, CAST(floor(value * 1000) AS BIGINT) AS tokens_in, CAST(floor(value * 10) AS BIGINT) AS tokens_out, user_id % 3 <> 0 AS success FROM {events}""",
+    "v_exports": """SELECT '/ws/x/' || CAST(k AS VARCHAR(20)) || '.ts' AS file, CASE WHEN k % 40 = 10 THEN '*' ELSE 'Fn' || CAST(k % 5 AS VARCHAR(20)) END AS name,
+      CASE WHEN k % 40 = 0 THEN '/ws/' || n_name || '/tests/customer.py' ELSE '/ws/x/' || CAST(CASE WHEN k % 40 = 20 THEN k + 5 ELSE k - 1 END AS VARCHAR(20)) || '.ts' END AS to_file,
+      CASE WHEN k % 40 = 0 THEN c_name WHEN k % 40 = 10 THEN '*' ELSE 'Fn' || CAST(CASE WHEN k % 40 = 20 THEN k + 5 WHEN k % 40 = 11 THEN k - 2 ELSE k - 1 END % 5 AS VARCHAR(20)) END AS to_name
+      FROM (SELECT c_custkey AS k, c_name, n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey) t""",
+    "v_placeholders": """SELECT 'caller' || CAST(k AS VARCHAR(20)) AS src, CASE k % 7 WHEN 0 THEN '/ws/' || r || '/' || n || '.ts::' || n WHEN 1 THEN '/ws/' || r || '/' || n || '::' || n WHEN 2 THEN '/ws/./' || r || '/' || n || '::' || n
+      WHEN 3 THEN '/ws/' || r || '/../' || r || '/' || n || '.ts::' || n WHEN 4 THEN 'lib::' || n WHEN 5 THEN '/ws/x/' || CAST(k AS VARCHAR(20)) || '::Fn' || CAST(k % 5 AS VARCHAR(20)) ELSE 'class#a::b' END AS dst, 'calls' AS kind
+      FROM (SELECT c_custkey AS k, r_name AS r, n_name AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) t""",
+    "v_imported": """SELECT '/ws/y/' || CAST(k % 9 AS VARCHAR(20)) || '.ts' AS file, 'Local' || CAST(k AS VARCHAR(20)) AS local_name, '/ws/' || r || '/' || n || CASE WHEN k % 2 = 0 THEN '.ts' ELSE '' END AS source_file, n AS original_name, 'import' AS import_text
+      FROM (SELECT c_custkey AS k, r_name AS r, n_name AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) t""",
+    "v_uses": """SELECT c_custkey AS ref_id, '/ws/y/' || CAST(c_custkey % 9 AS VARCHAR(20)) || '.ts' AS file, CASE c_custkey % 4 WHEN 0 THEN './x::Local' || CAST(c_custkey AS VARCHAR(20)) WHEN 1 THEN './x::' || n_name WHEN 2 THEN './x::Other' ELSE 'class#1::' || n_name END AS symbol_id
+      FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
 }
 #: Views that other views or queries read.
 ORDER = tuple(VIEWS)
@@ -75,6 +86,10 @@ class Views:
     bindings = cached_property(lambda self: self.view("v_bindings"))
     calls = cached_property(lambda self: self.view("v_calls"))
     runs = cached_property(lambda self: self.view("v_runs"))
+    exports = cached_property(lambda self: self.view("v_exports"))
+    placeholders = cached_property(lambda self: self.view("v_placeholders"))
+    imported = cached_property(lambda self: self.view("v_imported"))
+    uses = cached_property(lambda self: self.view("v_uses"))
 
 
 def with_views(sql: str) -> str:
