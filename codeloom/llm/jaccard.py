@@ -260,7 +260,8 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
 
     Lists that share members are a family. In each, the members outside its largest component are compared
     with all members, exactly: a task has a block of them as one sorted list of shingles, and runs
-    a share of the members through it. Blocks and shares are cut by bytes.
+    a share of the members through it. Blocks and shares are cut by bytes. A task tells one link
+    fewer than it joins components.
     """
     spark = rest.sparkSession
     first = rest.groupBy("t").agg(F.min(F.struct("cls", "n")).alias("first"))
@@ -270,19 +271,25 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     cut = top.select("family", F.col("top.c").alias("top"), F.ceil(8 * (F.col("n") - F.col("top.n")) / QUERIES).cast("int").alias("blocks"), F.ceil(8 * F.col("n") / MEMBERS).cast("int").alias("shares")).where("blocks > 0")
     members = stored(members.join(cut, "family").join(sets, "cls").withColumn("h", F.xxhash64("cls")), "members")
     discard(spark, family)
-    # the text's own size orders the rows, so that a task meets its block of queries first
     asked = members.where("c <> top").select("family", F.pmod("h", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "c", "set")
     others = members.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.shiftright("h", 20), F.col("shares").cast("long")).cast("int").alias("share"), F.lit(1).alias("role"), "c", "set")
     key = ["family", "block", "share"]
 
     def run(batches):
-        now, queries, index, joined = None, [], None, set()
+        now, queries, index, up = None, [], None, {}
+
+        def root(x: bytes) -> bytes:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         for batch in batches:
-            out = set()
+            out = []
             for r in batch.to_pylist():
                 k = (r["family"], r["block"], r["share"])
                 if k != now:
-                    now, queries, index, joined = k, [], None, set()
+                    now, queries, index, up = k, [], None, {}
                 own = np.frombuffer(r["set"], np.uint64)
                 if r["role"] == 0:
                     queries.append((r["c"], own))
@@ -300,10 +307,11 @@ def block_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
                 both = np.bincount(of[at], minlength=len(queries))
                 for q in np.flatnonzero(100 * both >= PERCENT * (size + len(own) - both)).tolist():
-                    # one link of a query to a component says all
-                    if queries[q][0] != r["c"] and (q, r["c"]) not in joined:
-                        joined.add((q, r["c"]))
-                        out.add((queries[q][0], r["c"]))
+                    # a link between components that this task has joined already says nothing more
+                    x, y = root(queries[q][0]), root(r["c"])
+                    if x != y:
+                        up[x] = y
+                        out.append((queries[q][0], r["c"]))
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     dealt = asked.union(others).repartition(partitions(spark), *key).sortWithinPartitions(*key, "role")
