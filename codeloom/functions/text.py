@@ -146,5 +146,11 @@ def glob_to_like(pattern: str, compat: bool = True) -> str:
 
 
 def glob_match(text: Column, pattern: str) -> Column:
-    """``*`` only: prefix, suffix, and the parts between in order."""
-    return text.rlike("^(?s:" + ".*".join(re.escape(x) for x in pattern.split("*")) + ")$")
+    """``*`` only: prefix, suffix, and the parts between in order behind the prefix; the suffix may
+    share characters with them, so that ``ab*b`` matches ``ab``."""
+    first, *rest = pattern.split("*")
+    if not rest:
+        return text == pattern
+    middle = [re.escape(x) for x in rest[:-1] if x]
+    out = text.startswith(first) & text.endswith(rest[-1])
+    return out & text.rlike("^(?s:" + ".*".join([re.escape(first), *middle]) + ")") if middle else out

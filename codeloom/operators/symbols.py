@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -97,12 +98,16 @@ def full_text(symbols: DataFrame, query: str) -> DataFrame:
     """Words of three characters or more, each anywhere in name or qualifier, whatever the case.
 
     ``name:`` and ``qualifier:`` pick a column, ``^`` anchors at the start, quotes hold a phrase,
-    ``OR`` separates alternatives; a trailing ``*`` changes nothing. An empty query is an error.
+    ``OR`` separates alternatives; a trailing ``*`` changes nothing. An empty query is an error, as
+    are NOT and parentheses outside of quotes: ``fulltext`` has expressions for these.
     """
     if not query.strip():
         raise ValueError("empty full-text query")
+    bare = re.sub(r'"[^"]*"', '""', query)
+    if re.search(r"[()]|(^|\s)NOT(\s|$)", bare):
+        raise ValueError("NOT and parentheses: combine fulltext.Phrase with &, | and ~")
     alternatives = []
-    for part in query.split(" OR "):
+    for part in re.split(r' OR (?=(?:[^"]*"[^"]*")*[^"]*$)', query):
         tests = []
         for term in _terms(part):
             column, _, rest = term.partition(":")

@@ -267,5 +267,7 @@ add("tx2_find", lambda v: files.find_files(v.symbols.select(F.col("file").alias(
 add("tx3_read_range", lambda v: files.read_range(v.table("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), 1, 2), "SELECT doc_id AS path, '    1 ' || string_split(text, chr(10))[1] || CASE WHEN len(string_split(text, chr(10))) > 1 THEN chr(10) || '    2 ' || string_split(text, chr(10))[2] ELSE '' END AS text FROM documents")
 
 from . import code as _code  # noqa: E402, F401
+from . import fulltext_queries as _fulltext  # noqa: E402, F401
+from . import ordering_queries as _ordering  # noqa: E402, F401
 from . import report_queries as _reports  # noqa: E402, F401
 from . import resolution_queries as _resolution  # noqa: E402, F401

@@ -61,6 +61,12 @@ VIEWS = {
       FROM (SELECT c_custkey AS k, r_name AS r, n_name AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) t""",
     "v_uses": """SELECT c_custkey AS ref_id, '/ws/y/' || CAST(c_custkey % 9 AS VARCHAR(20)) || '.ts' AS file, CASE c_custkey % 4 WHEN 0 THEN './x::Local' || CAST(c_custkey AS VARCHAR(20)) WHEN 1 THEN './x::' || n_name WHEN 2 THEN './x::Other' ELSE 'class#1::' || n_name END AS symbol_id
       FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    "v_linked": """SELECT 'part/' || CAST(l_partkey AS VARCHAR(20)) AS from_file, 'supplier/' || CAST(l_suppkey AS VARCHAR(20)) AS to_file FROM {lineitem}
+      UNION ALL SELECT 'supplier/' || CAST(s_suppkey AS VARCHAR(20)), 'nation/' || CAST(s_nationkey AS VARCHAR(20)) FROM {supplier}
+      UNION ALL SELECT 'customer/' || CAST(c_custkey AS VARCHAR(20)), 'nation/' || CAST(c_nationkey AS VARCHAR(20)) FROM {customer}
+      UNION ALL SELECT 'customer/' || CAST(c_custkey + 1 AS VARCHAR(20)), 'customer/' || CAST(c_custkey AS VARCHAR(20)) FROM {customer} WHERE c_custkey < (SELECT max(c_custkey) FROM {customer})
+      UNION ALL SELECT 'nation/' || CAST(n_nationkey AS VARCHAR(20)), 'region/' || CAST(n_regionkey AS VARCHAR(20)) FROM {nation}
+      UNION ALL SELECT 'region/' || CAST(n_regionkey AS VARCHAR(20)), 'nation/' || CAST(n_nationkey AS VARCHAR(20)) FROM {nation} WHERE n_regionkey < 2 AND n_nationkey % 2 = 0""",
 }
 #: Views that other views or queries read.
 ORDER = tuple(VIEWS)
@@ -89,6 +95,7 @@ class Views:
     exports = cached_property(lambda self: self.view("v_exports"))
     placeholders = cached_property(lambda self: self.view("v_placeholders"))
     imported = cached_property(lambda self: self.view("v_imported"))
+    linked = cached_property(lambda self: self.view("v_linked"))
     uses = cached_property(lambda self: self.view("v_uses"))
 
 

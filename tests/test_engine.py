@@ -105,6 +105,10 @@ def test_full_text_errors(spark):
     df = spark.createDataFrame([("a", "getUser", "mod")], "id string, name string, qualifier string")
     with pytest.raises(ValueError):
         S.full_text(df, " ")
+    for query in ("user NOT get", "(user OR get)", "NOT user"):
+        with pytest.raises(ValueError):
+            S.full_text(df, query)
+    assert S.full_text(df, '"x OR y" OR "user"').count() == 1
     assert S.full_text(df, "ge").count() == 0 and S.full_text(df, "tus*").count() == 1 and S.full_text(df, "name:mod").count() == 0
 
 
