@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators import resolution as R
 from .registry import add
+from .views import Views
 
 _WALK = """WITH own AS (SELECT file, name, min(id) AS id FROM v_symbols GROUP BY file, name),
 named AS (SELECT file, name, to_file, to_name FROM v_exports WHERE name <> '*'),
@@ -26,3 +30,22 @@ add(
   LEFT JOIN classes c ON replace(replace(regexp_replace(regexp_replace(e.dst, '/([A-Z ]+)/[.][.]/', '/'), '/[.]/', '/'), '.ts::', '::'), '::', '.ts::') = c.file || '::' || c.name
   LEFT JOIN passed p ON replace(p.file, '.ts', '::') || p.name = e.dst""",
 )
+
+
+def _after_change(v: Views) -> DataFrame:
+    """References resolved while the classes of one region were missing, then refreshed with these."""
+    missing = v.symbols.where("kind = 'class' and file like '/ws/ASIA/%'")
+    before = R.symbol_table(v.symbols.join(missing.select("id"), "id", "left_anti"))
+    old = R.kept(R.resolved_references(v.uses, v.imported, before), "references")
+    stem = F.regexp_replace("source_file", r"\.ts$", "")
+    deps = v.imported.select(F.col("file").alias("from_file"), F.concat(stem, F.lit(".ts")).alias("to_file")).distinct()
+    affected = R.affected_files(missing.select("file").distinct(), deps)
+    table = R.symbol_table(v.symbols)
+    return R.refreshed(old, v.uses, affected, lambda raw: R.resolved_references(raw, v.imported, table)).select("ref_id", "file", "symbol_id")
+
+
+add(
+    "st3_refresh",
+    _after_change,
+    "SELECT u.ref_id, u.file, CASE WHEN u.ref_id % 4 < 2 THEN s.id ELSE u.symbol_id END AS symbol_id FROM v_uses u JOIN customer ON c_custkey = u.ref_id JOIN v_symbols s ON s.kind = 'class' AND s.start_pos = c_nationkey * 100",
+)
