@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -177,3 +178,66 @@ def mann_whitney(rows: DataFrame, group: str, first: str, second: str, value: st
     u, total = F.col("r") - n1 * (n1 + 1) / 2, n1 + n2
     sd = F.sqrt(n1 * n2 / 12.0 * ((total + 1) - F.col("ties") / (total * (total - 1))))
     return s.select("n1", "n2", u.alias("u"), F.when(sd > 0, (F.abs(u - n1 * n2 / 2.0) - 0.5) / sd).otherwise(0.0).alias("z"))
+
+
+#: Fixed value: the smaller sample's size up to which U's distribution is counted; and places of U
+#: up to which it is, as the count holds one number for each.
+EXACT, MOST_PLACES = 8, 100_000
+
+
+@lru_cache(maxsize=256)
+def u_counts(n1: int, n2: int) -> tuple[int, ...]:
+    """How many orders of n1 and n2 different values have each U, from 0 to n1 * n2."""
+    counts = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for u in range(n1 * n2, n2 + i - 1, -1):
+            counts[u] -= counts[u - n2 - i]
+        for u in range(i, n1 * n2 + 1):
+            counts[u] += counts[u - i]
+    return tuple(counts)
+
+
+def exact_p(n1: int, n2: int, u: float) -> float:
+    """Two-sided p of U for samples without equal values."""
+    counts = u_counts(min(n1, n2), max(n1, n2))
+    tail = sum(counts[int(max(u, n1 * n2 - u)) :])
+    return min(1.0, 2 * tail / sum(counts))
+
+
+def rank_tests(rows: DataFrame, keys: list[str], group: str, first: str, second: str, value: str) -> DataFrame:
+    """For each group of ``keys``: n1, n2, U of the first sample, z and the two-sided p.
+
+    p is exact where the smaller sample has EXACT values or fewer and none are equal, else by the normal
+    approximation with ties; it is null if a sample has under two values, or the values are all one. Null
+    values are left out. The different values of all groups are sorted by ranges and counted by prefix sums, so
+    no group and no sort needs a task of its own; a group's ranks begin where its values do, which is
+    subtracted from the sums.
+    """
+    n = lambda g: F.count_if(F.col(group) == g)
+    v = rows.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).groupBy(*keys, value).agg(n(first).alias("a"), n(second).alias("b"))
+    v = kept(v.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranks")
+    running = F.coalesce(F.sum(F.col("a") + F.col("b")).over(W.partitionBy("_part").orderBy(*keys, value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row a range
+    parts = v.groupBy("_part").agg(F.sum(F.col("a") + F.col("b")).alias("n"))
+    parts = parts.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    v = v.withColumn("below", running).join(F.broadcast(parts), "_part").withColumn("below", (F.col("below") + F.col("_base")).cast("decimal(20,0)"))
+    tied = F.col("a") + F.col("b")
+    half = F.sum(F.col("a") * (tied + 1))
+    s = v.groupBy(*keys).agg(F.sum(F.col("a") * F.col("below")).alias("r"), F.min("below").alias("base"), half.alias("half"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum((tied * tied * tied - tied).cast("double")).alias("ties"))
+    n1, n2 = F.col("n1"), F.col("n2")
+    u = (F.col("r") - F.col("base") * n1).cast("double") + F.col("half") / 2 - n1 * (n1 + 1) / 2
+    total = n1 + n2
+    s = s.select(*keys, "n1", "n2", u.alias("u"), F.when(total > 1, F.sqrt(n1 * n2 / 12.0 * ((total + 1) - F.col("ties") / (total * (total - 1))))).alias("sd"), "ties")
+    s = s.withColumn("z", F.when(F.col("sd") > 0, (F.abs(F.col("u") - n1 * n2 / 2.0) - 0.5) / F.col("sd")))
+
+    # one row a group of keys
+    @F.udf("double")
+    def p(a, b, x, ties, z):
+        if a < 2 or b < 2 or z is None:
+            return None
+        if min(a, b) <= EXACT and ties == 0 and a * b <= MOST_PLACES:
+            return exact_p(a, b, x)
+        return min(1.0, math.erfc(z / math.sqrt(2)))
+
+    exact = (F.least("n1", "n2") <= EXACT) & (F.col("ties") == 0) & (n1 * n2 <= MOST_PLACES)
+    return s.select(*keys, "n1", "n2", "u", "z", exact.alias("exact"), p("n1", "n2", "u", "ties", "z").alias("p"))
