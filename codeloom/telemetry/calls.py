@@ -33,10 +33,28 @@ def _blocks(m: DataFrame, block: str) -> DataFrame:
     return m.select("session_id", "msg_idx", "role", F.posexplode(blocks).alias("block_idx", "block"))
 
 
-def load_native(spark, path: str) -> DataFrame:
+def native_records(spark, path: str, **options) -> DataFrame:
+    """(path, msg_idx, v): the records of JSON-lines transcripts; msg_idx is the byte at which a record's
+    line begins, so that records of a file keep their order however it is cut."""
+    from ..sources.transcripts import register
+
+    t = spark.read.format(register(spark)).options(path=path, **options).load()
+    return t.select("path", F.col("offset").alias("msg_idx"), F.try_parse_json("value").alias("v")).where("v is not null")
+
+
+def message_usage(records: DataFrame) -> DataFrame:
+    """(session_id, msg_idx, model, input_tokens, output_tokens, cache_read, cache_written) of the
+    assistant's messages; a field that a record lacks is null."""
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    of = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_written": "cache_creation_input_tokens"}
+    rows = records.where(get("$.type", "string") == "assistant")
+    return rows.select(get("$.sessionId", "string").alias("session_id"), "msg_idx", get("$.message.model", "string").alias("model"), *[get(f"$.message.usage.{x}", "long").alias(name) for name, x in of.items()])
+
+
+def load_native(spark, path: str, **options) -> DataFrame:
     """JSON-lines transcripts with one record a line; other records than messages are left out."""
     block = "struct<type:string,text:string,id:string,name:string,input:map<string,string>,tool_use_id:string,content:string>"
-    t = spark.read.text(path).select(F.monotonically_increasing_id().alias("msg_idx"), F.try_parse_json("value").alias("v")).where("v is not null")
+    t = native_records(spark, path, **options)
     t = t.where(F.try_variant_get("v", "$.type", "string").isin("user", "assistant"))
     return _blocks(t.select(F.try_variant_get("v", "$.sessionId", "string").alias("session_id"), "msg_idx", F.try_variant_get("v", "$.message.role", "string").alias("role"), F.try_variant_get("v", "$.message.content", "variant").alias("c")), block)
 
