@@ -269,6 +269,7 @@ add("tx3_read_range", lambda v: files.read_range(v.table("documents").select(F.c
 from . import code as _code  # noqa: E402, F401
 from . import fulltext_queries as _fulltext  # noqa: E402, F401
 from . import ordering_queries as _ordering  # noqa: E402, F401
+from . import position_queries as _positions  # noqa: E402, F401
 from . import rank_queries as _ranks  # noqa: E402, F401
 from . import report_queries as _reports  # noqa: E402, F401
 from . import resolution_queries as _resolution  # noqa: E402, F401
