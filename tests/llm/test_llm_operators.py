@@ -727,6 +727,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_clique_start_from_one_link_a_node(spark, monkeypatch):
+    from codeloom.llm import components as C
+
+    sizes, stored = [], C.stored
+
+    def noted(df, name):
+        sizes.append((out := stored(df, name)).count())
+        return out
+
+    monkeypatch.setattr(C, "stored", noted)
+    links = spark.createDataFrame([(i, j) for i in range(60) for j in range(i)], "a long, b long").coalesce(1)
+    got = {r.node: r.component for r in C.components(links).collect()}
+    assert got == dict.fromkeys(range(60), 0) and sizes == [59]
+
+
 TALK = [
     (1, 0, "a", "How does the north gate open today?\nAnd the small east door?"),
     (1, 1, "b", "The gate opens at noon for everyone."),
