@@ -1,6 +1,6 @@
 """Parts of tokens grow with the source text, not with the session's settings."""
 
-from codeloom.sources import lexis
+from codeloom.sources import lexis, syntax
 from codeloom.sources.syntax import symbols
 
 
@@ -10,3 +10,15 @@ def test_parts_grow_with_the_text(spark, monkeypatch):
     size = sum(len(r.content) for r in files.collect())
     assert lexis.tokens(files).rdd.getNumPartitions() == -(-size // 256)
     assert {r.name for r in symbols(files).collect()} == {f"Get{k}" for k in range(100)}
+
+
+def test_parts_of_statements_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(lexis, "PART", 256, raising=False)
+    monkeypatch.setattr(syntax, "PART", 256, raising=False)
+    files = spark.createDataFrame([(f"/f{k}.rs", f"impl A{k} {{\n  pub fn get{k}(n: i32) -> i32 {{ n }}\n}}\n") for k in range(100)], "path string, content string")
+    rows = syntax.placed(files)
+    size = sum(len(r.head.encode()) for r in rows.collect())
+    assert rows.rdd.getNumPartitions() == -(-size // 256)
+    found = syntax.symbol_rows(rows)
+    assert found.rdd.getNumPartitions() == -(-size // 256)
+    assert {(r.name, r.container) for r in found.where("is_symbol").collect()} == {(f"get{k}", f"A{k}") for k in range(100)}
