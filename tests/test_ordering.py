@@ -82,3 +82,25 @@ def test_glob(spark, pattern, text, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(glob_match(F.lit(text), pattern).alias("x")).first().x is want
+
+
+def test_rounds_send_nothing_to_the_driver_and_deal_by_rows(spark, monkeypatch):
+    plans, kept = [], ordering.kept
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(ordering, "kept", noted)
+    monkeypatch.setattr(ordering, "ROWS", 16, raising=False)
+    links = [(f"n{k:03d}", f"n{k - 1:03d}") for k in range(1, 100)] + [("n020", "n029"), ("n099", "n050")]
+    deps = spark.createDataFrame(links, "from_file string, to_file string")
+    files = spark.createDataFrame([(f"n{k:03d}",) for k in range(100)], "file string")
+    out = ordering.build_order(deps, files)
+    rows = {r.file: (r.component, r.n_files, r.in_cycle, r.level) for r in out.collect()}
+    want = {k: (f"n{k:03d}", 1, False, k) for k in range(20)}
+    want |= {k: ("n020", 10, True, 20) for k in range(20, 30)}
+    want |= {k: (f"n{k:03d}", 1, False, k - 9) for k in range(30, 100)}
+    assert rows == {f"n{k:03d}": v for k, v in want.items()}
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert any("REPARTITION_BY_NUM" in p for p in plans)
