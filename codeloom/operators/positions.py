@@ -20,9 +20,10 @@ def line_table(sources: DataFrame, in_bytes: bool = True) -> DataFrame:
     """(file, line, start_pos, end_pos, text): the lines of (path, content), numbered from 1; positions are
     bytes or characters, and a line ends behind its line feed, the last one behind its text's end."""
     rows = sources.select(F.col("path").cast("string").alias("file"), F.posexplode(F.split(F.col("content").cast("string"), "\n", -1)).alias("i", "text"))
-    size = F.octet_length("text") if in_bytes else F.length("text")
-    end = F.sum((size + 1).cast("long")).over(W.partitionBy("file").orderBy("i"))
-    return rows.select("file", (F.col("i") + 1).cast("long").alias("line"), (end - size - 1).alias("start_pos"), end.alias("end_pos"), "text")
+    # sizes are taken before the window, so that who needs no texts exchanges none
+    rows = rows.withColumn("size", (F.octet_length("text") if in_bytes else F.length("text")) + 1)
+    end = F.sum(F.col("size").cast("long")).over(W.partitionBy("file").orderBy("i"))
+    return rows.select("file", (F.col("i") + 1).cast("long").alias("line"), (end - F.col("size")).alias("start_pos"), end.alias("end_pos"), "text")
 
 
 def located(probes: DataFrame, lines: DataFrame, key: str = "probe_id") -> DataFrame:
@@ -33,8 +34,12 @@ def located(probes: DataFrame, lines: DataFrame, key: str = "probe_id") -> DataF
 
 
 def with_context(found: DataFrame, lines: DataFrame, around: int = 0, key: str = "probe_id") -> DataFrame:
-    """(key, first_line, snippet): the line of each located probe with up to ``around`` lines on both sides."""
-    wanted = found.where("line is not null").select(key, "file", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("line"))
-    rows = wanted.join(lines.select("file", "line", "text"), ["file", "line"])
-    parts = F.array_sort(F.collect_list(F.struct("line", "text")))
-    return rows.groupBy(key).agg(F.min("line").alias("first_line"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("snippet"))
+    """(key, first_line, snippet): the line of each located probe with up to ``around`` lines on both sides.
+
+    A line gets those around it once, where the lines of its file stand together, and not for each probe: what
+    is exchanged grows with the lines, however many probes each has.
+    """
+    near = W.partitionBy("file").orderBy("line").rowsBetween(-around, around)
+    rows = lines.select("file", "line", F.min("line").over(near).alias("first_line"), F.array_join(F.collect_list("text").over(near), "\n").alias("snippet"))
+    wanted = found.where("line is not null").select(key, "file", "line")
+    return wanted.join(rows, ["file", "line"]).select(key, "first_line", "snippet")
