@@ -9,18 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import kept, parts_of
-
-#: Rows of one part of a table that is joined or grouped.
-ROWS = 1 << 19
-
-
-def dealt(t: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``t`` by its keys in parts of about ``ROWS``, if it (or what it meets) has ``n`` rows; where the
-    session's parts do, Spark's own exchange is left to choose."""
-    spark = t.sparkSession
-    parts = parts_of(spark, n, ROWS)
-    return t if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")) else t.repartition(parts, *keys)
+from .graph import dealt, kept
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import kept
+from .graph import dealt, kept
 
 
 def file_stats(symbols: DataFrame) -> DataFrame:
@@ -27,8 +27,9 @@ def duplicate_groups(symbols: DataFrame, least: int = 2, kind: str | None = None
     return (chosen if strict else symbols).join(groups, "content_hash").select("content_hash", "n", "id")
 
 
-def edge_multiplicity(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+def edge_multiplicity(edges: DataFrame, rows: int = 0) -> DataFrame:
+    """How often each edge is there; ``rows``, about how many edges there are, gives the parts (0: the session's)."""
+    return dealt(edges, rows, "src", "dst", "kind").groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
 
 
 def key_types(symbols: DataFrame, per_file: int = 5, methods: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from codeloom.functions.text import glob_match
-from codeloom.operators import ordering
+from codeloom.operators import graph, ordering
 
 
 def plain_components(nodes, links):
@@ -92,7 +92,7 @@ def test_rounds_send_nothing_to_the_driver_and_deal_by_rows(spark, monkeypatch):
         return kept(df, name)
 
     monkeypatch.setattr(ordering, "kept", noted)
-    monkeypatch.setattr(ordering, "ROWS", 16, raising=False)
+    monkeypatch.setattr(graph, "ROWS", 16, raising=False)
     links = [(f"n{k:03d}", f"n{k - 1:03d}") for k in range(1, 100)] + [("n020", "n029"), ("n099", "n050")]
     deps = spark.createDataFrame(links, "from_file string, to_file string")
     files = spark.createDataFrame([(f"n{k:03d}",) for k in range(100)], "file string")
