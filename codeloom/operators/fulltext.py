@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import kept
+from . import graph
+from .graph import dealt, kept, parts_of
 
 GRAM = 3
 #: The constants of BM25, and the least weight of a phrase.
@@ -101,13 +102,15 @@ def build_index(texts: DataFrame) -> Index:
     A gram that very many texts have is spread over ranges by id.
     """
     columns = [F.struct(F.lit(k).cast("byte").alias("column"), F.lower(F.col(c)).alias("text")) for k, c in enumerate(COLUMNS)]
-    rows = texts.where("id is not null").dropDuplicates(["id"]).select("id", F.explode(F.array(*columns)).alias("c"))
+    texts = texts.where("id is not null").select("id", *COLUMNS)
+    rows = dealt(texts, texts.count() * len(COLUMNS), "id").dropDuplicates(["id"]).select("id", F.explode(F.array(*columns)).alias("c"))
     grams = F.when(F.length("c.text") >= GRAM, F.transform(F.sequence(F.lit(1), F.length("c.text") - (GRAM - 1)), lambda i: F.substring(F.col("c.text"), i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("id", "c.column", F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
     sizes = kept(rows.groupBy("id").agg(F.sum(F.size("grams")).alias("size")), "sizes")
     post = rows.select("id", "column", F.posexplode("grams").alias("at", "gram"))
-    post = kept(post.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id"), "postings")
     total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = parts_of(texts.sparkSession, total[1], graph.ROWS)
+    post = kept(post.repartitionByRange(parts, "gram", "id").sortWithinPartitions("gram", "id"), "postings")
     return Index(post, sizes, total[0], total[1] / max(total[0], 1))
 
 
@@ -122,8 +125,9 @@ def occurrences(index: Index, query: Expression) -> DataFrame:
     asked = spark.createDataFrame(wanted, "phrase int, length int, only int, start boolean, offset int, asked string")
     # a filter on the query's few grams, so that the scan can skip; then each place once for each phrase
     rows = index.postings.where(F.col("gram").isin(sorted({w[5] for w in wanted}))) if wanted else index.postings.limit(0)
+    n = rows.count()
     rows = rows.join(F.broadcast(asked), F.col("gram") == F.col("asked")).where("(only = -1 or only = column) and at >= offset and (not start or at = offset)")
-    whole = rows.groupBy("phrase", "length", "id", "column", (F.col("at") - F.col("offset")).alias("place")).agg(F.count("*").alias("n")).where("n = length")
+    whole = dealt(rows, n, "id", "phrase").groupBy("phrase", "length", "id", "column", (F.col("at") - F.col("offset")).alias("place")).agg(F.count("*").alias("n")).where("n = length")
     return whole.groupBy("id", "phrase").agg(F.count("*").alias("n"))
 
 
@@ -147,7 +151,8 @@ def ranked(index: Index, query: Expression) -> DataFrame:
     # one row a phrase of the query
     texts = {r[0]: r[1] for r in found.groupBy("phrase").agg(F.count("*")).collect()}
     counts = [F.coalesce(F.sum(F.when(F.col("phrase") == k, F.col("n"))), F.lit(0)).alias(f"f{k}") for k in numbers.values()]
-    rows = found.groupBy("id").agg(*counts).where(_holds(query, numbers)).join(index.sizes, "id")
+    n = max(found.count(), index.n)
+    rows = dealt(found, n, "id").groupBy("id").agg(*counts).where(_holds(query, numbers)).join(dealt(index.sizes, n, "id"), "id")
     score = F.lit(0.0)
     for k in numbers.values():
         n = texts.get(k, 0)
@@ -160,6 +165,8 @@ def ranked(index: Index, query: Expression) -> DataFrame:
 def search_ranked(symbols: DataFrame, index: Index, query: Expression, limit: int | None = None) -> DataFrame:
     """The symbols that match, with score, the best first where a limit is given."""
     hits = ranked(index, query)
-    if limit is not None:
+    if limit is None:
+        symbols = dealt(symbols, index.n, "id")
+    else:
         hits = hits.orderBy(F.desc("score"), "id").limit(limit)
     return symbols.join(hits, "id")
