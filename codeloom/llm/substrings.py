@@ -3,16 +3,18 @@
 A byte is removed if it is covered by a string of LENGTH bytes that also starts earlier (in a
 smaller document, or before in the same one).
 
-Candidates. Every start of LENGTH bytes is named by the smallest hash of the GRAM-byte strings
-inside: equal strings have equal names wherever they stand. Neighbouring starts of one name form a
-segment. Names are counted; a Bloom filter of bounded size (when it is full it only lets more
+Candidates. Every start of LENGTH bytes is named by the smallest of the GRAM-byte strings inside, in
+an order by 32-bit hashes; the name is a 64-bit hash of that string (of several with one order hash,
+the smallest name): equal strings have equal names wherever they stand. Neighbouring starts of one
+name form a segment. Names are counted; a Bloom filter of bounded size (when it is full it only lets more
 through) keeps the segments whose name occurs again. Equal segments are then one row with its
 first place: all other occurrences are repeats.
 
-Shards. The different segments are dealt out by name. Each shard gets the suffix array of its
-starts by Larsson-Sadakane refinement (8 bytes first, then doubling, sorting only groups not yet
-apart, to LENGTH bytes), and common prefixes after Kasai; neighbours with LENGTH common bytes are
-the same string, and all but its first place are repeats. Names with very many segments are split
+Shards. The different segments are dealt out by name. In each shard, starts whose LENGTH bytes have
+a 64-bit hash that no other start has cannot be repeats and are left out with no loss. The others
+get a suffix array by Larsson-Sadakane refinement (8 bytes first, then doubling, sorting only groups
+not yet apart, to LENGTH bytes); starts of one rank are the same string, and all but its first place
+are repeats. Names with very many segments are split
 over several shards; the sorted strings that each of those leaves are exchanged by range and merged
 by binary search (there, two independent 64-bit hashes stand for the strings).
 
@@ -30,26 +32,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, filesystem, map_batches, partitions, read_bytes, rows_out, stored, work_path
+from .common import discard, filesystem, map_batches, partitions, pieces, read_bytes, rows_out, stored, work_path
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of text worked on at once; bits of the Bloom filter for each name, and at most.
-CHUNK, BITS, MOST_BITS = 1 << 20, 16, 1 << 29
+#: Bytes of text worked on at once (few, so that arrays stay in a core's cache); bits of the Bloom filter for each
+#: name, and at most.
+CHUNK, BITS, MOST_BITS = 1 << 16, 16, 1 << 29
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1 << 21
 
 #: A table of bytes and multipliers for each of two independent hashes.
 _BYTE = [np.random.default_rng(k).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for k in (5, 15)]
 _ODD = [np.random.default_rng(k).integers(0, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1) for k in (6, 16)]
+_BYTE32, _ODD32 = ((x >> np.uint64(31)).astype(np.uint32) | np.uint32(1) for x in (_BYTE[0], _ODD[0]))
 
 
 def _joined(one: np.ndarray, two: np.ndarray, gap: int, factor: np.uint64) -> np.ndarray:
     n = min(len(one), len(two) - gap)
-    return one[:n] * factor + two[gap : gap + n]
+    x = one[:n] * factor
+    x += two[gap : gap + n]
+    return x
 
 
 def string_hashes(data: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -67,14 +74,51 @@ def string_hashes(data: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def window_minima(x: np.ndarray) -> np.ndarray:
-    """Smallest of each WINDOW neighbouring values."""
+def long_hashes(data: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of the LENGTH bytes at each of ``at``."""
+    h, odd = string_hashes(data, salt), _ODD[salt][8]
+    x = np.zeros(len(at), np.uint64)
+    for k in range(0, LENGTH - GRAM + 1, 19):  # strings of GRAM bytes that cover LENGTH
+        x = (x ^ (x >> np.uint64(32))) * odd + h[at + k]
+    return x ^ (x >> np.uint64(29))
+
+
+def string_orders(data: np.ndarray) -> np.ndarray:
+    """A number of 32 bits for every string of GRAM bytes; it orders them and need not tell them apart."""
+    odd = _ODD32
+    h2 = _joined(h1 := _BYTE32[data], h1, 1, odd[0])
+    h4 = _joined(h2, h2, 2, odd[1])
+    h8 = _joined(h4, h4, 4, odd[2])
+    x = _joined(_joined(h8, h8, 8, odd[3]), h8, 16, odd[4])
+    x ^= x >> np.uint32(15)
+    x *= odd[5]
+    x ^= x >> np.uint32(14)
+    return x
+
+
+def string_names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hash of the GRAM bytes at each of ``at``."""
+    words = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at].view("<u8")
+    x = np.zeros(len(at), np.uint64)
+    for k in range(words.shape[1]):
+        x = (x ^ (x >> np.uint64(32)) ^ words[:, k]) * _ODD[0][9 + k]
+    x ^= x >> np.uint64(31)
+    x *= _ODD[0][12]
+    return x ^ (x >> np.uint64(29))
+
+
+def _windows(x: np.ndarray, best: np.ufunc) -> np.ndarray:
     width = 1
     while 2 * width <= WINDOW:
-        x = np.minimum(x[:-width], x[width:])
+        x = best(x[:-width], x[width:])
         width *= 2
     rest = WINDOW - width
-    return np.minimum(x[:-rest], x[rest:]) if rest else x
+    return best(x[:-rest], x[rest:]) if rest else x
+
+
+def window_minima(x: np.ndarray) -> np.ndarray:
+    """Smallest of each WINDOW neighbouring values."""
+    return _windows(x, np.minimum)
 
 
 def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,40 +127,57 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none.astype(np.uint64), none, none, none, none.astype(bool)
-    x = string_hashes(data)
+    x = string_orders(data)
     m = window_minima(x)
     ends = np.cumsum(sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)[: len(m)]
-    fits = np.arange(len(m)) + LENGTH <= ends[text]
-    new = np.ones(len(m), bool)
-    new[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1]) | ~fits[:-1]
-    at = np.flatnonzero(new & fits)
+    new = np.append(True, m[1:] != m[:-1])
+    new[(ends - sizes)[sizes >= LENGTH]] = True
+    at = np.flatnonzero(new)
+    text = np.searchsorted(ends, at, "right")
+    fits = at + LENGTH <= ends[text]
+    at, text = at[fits], text[fits]
     if not len(at):
         return none.astype(np.uint64), none, none, none, none.astype(bool)
     # a segment ends before the next one, or where its text's starts end
-    last = np.minimum(np.append(at[1:], len(m)), ends[text[at]] - LENGTH + 1)
+    last = np.minimum(np.append(at[1:], len(m)), ends[text] - LENGTH + 1)
     n = last - at
-    name = m[at]
-    reach = n + WINDOW - 1
-    begin = np.cumsum(reach) - reach
-    index = np.arange(int(reach.sum())) - np.repeat(begin - at, reach)
-    twice = np.add.reduceat(x[index] == np.repeat(name, reach), begin) > 1
-    return name, text[at], at, n, twice
+    # strings that are the smallest of a window, and those of each segment that are the smallest there
+    edge = np.zeros(WINDOW - 1, np.uint32)
+    least = np.flatnonzero(x == _windows(np.concatenate((edge, m, edge)), np.maximum))
+    names = string_names(data, least)
+    begin = np.searchsorted(least, at)
+    many = np.searchsorted(least, last + WINDOW - 1) - begin
+    cut = np.cumsum(many) - many
+    index = np.arange(int(many.sum())) - np.repeat(cut - begin, many)
+    mine = x[least[index]] == np.repeat(m[at], many)
+    twice = np.add.reduceat(mine, cut, dtype=np.int64) > 1
+    name = np.minimum.reduceat(np.where(mine, names[index], np.uint64(2**64 - 1)), cut)
+    mixed = np.flatnonzero(np.maximum.reduceat(np.where(mine, names[index], np.uint64(0)), cut) != name)
+    if not len(mixed):
+        return name, text, at, n, twice
+    # different strings of one order in a segment, which is rare: its starts are named one by one
+    keep = np.ones(len(at), bool)
+    keep[mixed] = False
+    parts = [tuple(x[keep] for x in (name, text, at, n, twice))]
+    for k in mixed.tolist():
+        own = index[cut[k] : cut[k] + many[k]][mine[cut[k] : cut[k] + many[k]]]
+        smallest = np.full(n[k] + WINDOW - 1, 2**64 - 1, np.uint64)
+        smallest[least[own] - at[k]] = names[own]
+        each = window_minima(smallest)
+        first = np.flatnonzero(np.append(True, each[1:] != each[:-1]))
+        parts.append((each[first], np.full(len(first), text[k]), at[k] + first, np.diff(first, append=n[k]), np.ones(len(first), bool)))
+    name, text, at, n, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(at)
+    return name[by], text[by], at[by], n[by], twice[by]
 
 
 def _pieces(batch) -> list:
-    """Rows of a batch in pieces of about CHUNK bytes."""
-    texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-    out, now, size = [], [], 0
-    for i, t in enumerate(texts):
-        now.append(i)
-        size += len(t)
-        if size >= CHUNK:
-            out.append(now)
-            now, size = [], 0
-    if now:
-        out.append(now)
-    return [(rows, np.frombuffer(b"".join([texts[i] for i in rows]), np.uint8), np.array([len(texts[i]) for i in rows], np.int64)) for rows in out]
+    """Rows of a batch in pieces of about CHUNK bytes: rows, joined bytes, bytes of each."""
+    texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    return [(range(i, k), data[ends[i] : ends[k]], np.diff(ends[i : k + 1])) for i, k in pieces(np.diff(ends).tolist(), CHUNK)]
 
 
 def name_counts(rows: DataFrame) -> DataFrame:
@@ -124,11 +185,13 @@ def name_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, data, sizes in _pieces(batch):
-                name, _, _, _, twice = segments(data, sizes)
-                name, inverse = np.unique(name, return_inverse=True)
-                n = np.bincount(inverse, 1.0 + twice, len(name)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"name": pa.array(name.view(np.int64)), "n": pa.array(n)})
+            found = [segments(data, sizes) for _, data, sizes in _pieces(batch)]
+            if not found:
+                continue
+            name, twice = (np.concatenate([x[k] for x in found]) for k in (0, 4))
+            name, inverse = np.unique(name, return_inverse=True)
+            n = np.bincount(inverse, 1.0 + twice, len(name)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"name": pa.array(name.view(np.int64)), "n": pa.array(n)})
 
     return map_batches(rows.select("text"), run, "name long, n int").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
 
@@ -147,16 +210,27 @@ def write_filter(names: DataFrame, out: str) -> int:
     block = min(bits, 1 << 23)
 
     def split(batches):
+        def rows(held):
+            places = np.unique(np.concatenate(_bits_of(np.concatenate(held).view(np.uint64), bits)).astype(np.int64))
+            k, first = np.unique(places // block, return_index=True)
+            parts = [x.astype("<i4").tobytes() for x in np.split(places % block, first[1:])]
+            return pa.RecordBatch.from_pydict({"block": pa.array(k.astype(np.int32)), "places": pa.array(parts, pa.binary())})
+
+        held = []
         for batch in batches:
-            places = np.concatenate(_bits_of(batch.column("name").to_numpy().view(np.uint64), bits)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"block": pa.array((places // block).astype(np.int32)), "bit": pa.array((places % block).astype(np.int32))})
+            if batch.num_rows:
+                held.append(batch.column("name").to_numpy())
+            if len(held) >= 512:
+                yield rows(held)
+                held = []
+        if held:
+            yield rows(held)
 
     def write(batches):
         field = {}
         for batch in batches:
-            k, bit = batch.column("block").to_numpy(), batch.column("bit").to_numpy()
-            for b in np.unique(k).tolist():
-                field.setdefault(b, np.zeros(block, bool))[bit[k == b]] = True
+            for b, places in zip(batch.column("block").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                field.setdefault(b, np.zeros(block, bool))[np.frombuffer(places, "<i4")] = True
         for b, x in field.items():
             files, path = filesystem(f"{out}/block-{b}")
             files.create_dir(path.rpartition("/")[0], recursive=True)
@@ -166,7 +240,8 @@ def write_filter(names: DataFrame, out: str) -> int:
             files.move(new, path)
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32())})
 
-    spread = map_batches(names, split, "block int, bit int").repartition(min(bits // block, partitions(spark)), "block") if bits > block else map_batches(names, split, "block int, bit int").distinct().coalesce(1)
+    # a row has the bits of many names
+    spread = map_batches(names, split, "block int, places binary").repartition(min(bits // block, partitions(spark)), "block")
     map_batches(spread, write, "block int").count()
     return bits
 
@@ -216,8 +291,8 @@ def kept_segments(rows: DataFrame, out: str, bits: int) -> DataFrame:
     return map_batches(rows, run, "name long, sid binary, doc_id long, h long, start long, n int, twice boolean, bytes binary")
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The starts in the order of their LENGTH bytes: Larsson-Sadakane refinement, cut at LENGTH.
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """For each place, how many have smaller LENGTH bytes: Larsson-Sadakane refinement, cut at LENGTH.
 
     All places get a rank by 8 bytes; each round doubles the depth by the rank of the place that
     many bytes on, and sorts only places whose group is not yet a single one.
@@ -227,7 +302,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = np.ones(n, bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n + LENGTH, np.int64)
@@ -239,20 +314,21 @@ def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(where):
             break
         places = order[where]
-        deep = rank[places + step]
-        group = rank[places]
-        by = np.lexsort((deep, group))
-        places, group, deep = places[by], group[by], deep[by]
+        key = rank[places] * (n + 1) + rank[places + step] + 1  # by group, and by what follows
+        by = np.argsort(key)
+        places, key = places[by], key[by]
         order[where] = places
         differs = np.ones(len(where), bool)
-        differs[1:] = (group[1:] != group[:-1]) | (deep[1:] != deep[:-1])
+        differs[1:] = key[1:] != key[:-1]
         first[where] = differs
         rank[places] = where[np.maximum.accumulate(np.where(differs, np.arange(len(where)), 0))]
-    mine = np.zeros(n, bool)
-    mine[starts] = True
-    order = order[mine[order]]
-    # places in one group stand in the order of the text
-    return order[np.lexsort((order, rank[order]))]
+    return rank[:n]
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The starts in the order of their LENGTH bytes; equal ones in the order of the text."""
+    n = max(1, len(data))
+    return np.sort(suffix_ranks(data)[starts] * n + starts) % n
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, seg_at: np.ndarray, seg_n: np.ndarray) -> np.ndarray:
@@ -301,18 +377,27 @@ def repeats(parts: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarr
     seg = np.repeat(np.arange(len(parts)), n)
     offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     starts = at[seg] + offset
-    order = suffix_order(data, starts)
-    lcp = common_prefixes(data, order, at, n)
-    group = np.cumsum(lcp < LENGTH) - 1
-    index = np.empty(len(data), np.int64)
-    index[starts] = np.arange(len(starts))
-    k = index[order]
-    age = np.empty(len(starts), np.int64)
-    age[np.lexsort((place[seg, 1] + offset, place[seg, 0]))] = np.arange(len(starts))
-    least = np.full(int(group[-1]) + 1 if len(group) else 0, len(starts), np.int64)
-    np.minimum.at(least, group, age[k])
     late = np.zeros(len(starts), bool)
-    late[k] = age[k] != least[group]
+    # only starts whose hash occurs again can be repeats; the array is made of the bytes under them
+    key = long_hashes(data, starts) if len(starts) else np.zeros(0, np.uint64)
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    again = np.zeros(len(starts), bool)
+    again[order[same]] = again[order[same + 1]] = True
+    again = np.flatnonzero(again)
+    if not len(again):
+        return seg, offset, late, starts
+    edge = np.zeros(len(data) + 1, np.int32)
+    edge[starts[again]] += 1
+    edge[starts[again] + LENGTH] -= 1
+    under = np.cumsum(edge[:-1]) > 0
+    rank = suffix_ranks(data[under])[(np.cumsum(under) - 1)[starts[again]]]
+    # starts of one rank have the same bytes; all but the first in place are repeats
+    start = place[seg[again], 1] + offset[again]
+    age = place[seg[again], 0] * (int(start.max()) + 1) + start
+    least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, age)
+    late[again] = age != least[rank]
     return seg, offset, late, starts
 
 
@@ -366,11 +451,7 @@ def _shard(rows: list[dict], ranges: int) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(parts), np.uint8)
         strings = np.zeros(len(left), _STRING)
         for key, salt in (("a", 0), ("b", 1)):
-            h = string_hashes(data, salt)
-            x = np.zeros(len(left), np.uint64)
-            for k in range(0, LENGTH - GRAM + 1, 19):  # strings of GRAM bytes that cover LENGTH
-                x = (x ^ (x >> np.uint64(32))) * _ODD[salt][8] + h[at[left] + k]
-            strings[key] = x ^ (x >> np.uint64(29))
+            strings[key] = long_hashes(data, at[left], salt)
         for k, of in (("doc_id", "doc_id"), ("h", "h")):
             strings[k] = np.array([r[of] or 0 for r in rows], np.int64)[seg[left]]
         strings["null"] = np.array([r["doc_id"] is None for r in rows])[seg[left]]
