@@ -24,6 +24,21 @@ def test_pairs_of_one_name_are_made_by_many_tasks(spark, monkeypatch):
     assert most < 0.6 * len(out)
 
 
+def test_ids_of_pairs_repeat_soon_so_that_what_is_written_is_small(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIST", 8, raising=False)
+    rows = [(f"a{k}", "same", "f") for k in range(200)] + [("b1", "alone", "f"), (None, "same", "f")]
+    edges, s = tables(spark, rows)
+    out = joins.implementations_or_namesakes(edges, s, s.where("id is not null")).where("tier = 2").withColumn("task", F.spark_partition_id()).collect()
+    want = {(f"a{k}", m) for k in range(200) if k != 1 for m in [None, *(f"a{m}" for m in range(200))]}
+    assert len(out) == len(want) and {(r.target_id, r.id) for r in out} == want
+    gaps, seen = [], {}
+    for i, r in enumerate(out):
+        if (r.task, r.id) in seen:
+            gaps.append(i - seen[r.task, r.id])
+        seen[r.task, r.id] = i
+    assert sorted(gaps)[len(gaps) * 9 // 10] <= 8
+
+
 def test_namesakes_of_files_are_not_stored_as_pairs(spark, monkeypatch):
     sizes, kept = [], joins.kept
 
