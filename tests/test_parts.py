@@ -30,6 +30,15 @@ def test_parts_of_statements_grow_with_the_text(spark, monkeypatch):
     assert {(r.name, r.container) for r in found.where("is_symbol").collect()} == {(f"get{k}", f"A{k}") for k in range(100)}
 
 
+def test_statements_are_placed_without_an_exchange_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lexis, "PART", 256, raising=False)
+    files = spark.createDataFrame([(f"/f{k}.rs", f"impl A{k} {{\n  pub fn get{k}(n: i32) -> i32 {{ n }}\n}}\n") for k in range(100)], "path string, content string")
+    rows = syntax.placed(files)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {(r.head, r.outer, tuple(x.head for x in r.inside or ())) for r in rows.where("file = '/f7.rs'").collect()}
+    assert ("pub fn get7 ( ) -> i32 { }", "impl A7 { }", ("n : i32", "n")) in found and ("n", "pub fn get7 ( ) -> i32 { }", ()) in found
+
+
 def test_narrowest_spans_are_found_in_parts_of_so_many_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "ROWS", 16, raising=False)
     spans = [(f"s{k}-{w}", f"f{k % 3}", k * 10, k * 10 + w) for k in range(60) for w in (8, 25, 70000)]
