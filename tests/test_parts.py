@@ -39,6 +39,13 @@ def test_statements_are_placed_without_an_exchange_of_tokens(spark, monkeypatch)
     assert ("pub fn get7 ( ) -> i32 { }", "impl A7 { }", ("n : i32", "n")) in found and ("n", "pub fn get7 ( ) -> i32 { }", ()) in found
 
 
+def test_imports_are_read_from_statements_placed_once(spark):
+    from codeloom.plans.catalog import QUERIES
+
+    plan = QUERIES["x_imports"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_narrowest_spans_are_found_in_parts_of_so_many_rows(spark, monkeypatch):
     monkeypatch.setattr(graph, "ROWS", 16, raising=False)
     spans = [(f"s{k}-{w}", f"f{k % 3}", k * 10, k * 10 + w) for k in range(60) for w in (8, 25, 70000)]
